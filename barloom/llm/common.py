@@ -25,12 +25,15 @@ def small_batches(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` kept in the checkpoint folder of the session (``spark.checkpoint.dir``), which all executors share.
 
-    Where the session names no folder (tests on one machine), a temporary one is set.
+    Where the session names no folder (tests on one machine), a temporary one is set. Shuffle files of steps that
+    nothing refers to any more are given back at once, not when the driver happens to collect its garbage.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-"))
-    return df.checkpoint()
+    kept = df.checkpoint()
+    sc._jvm.System.gc()
+    return kept
 
 
 def columns(df: DataFrame, **wanted: str) -> DataFrame:

@@ -21,6 +21,7 @@ No step keeps all occurrences of a string in one task, drops any, or looks at le
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from barloom.llm.common import columns, cut_lineage, small_batches
 
 LENGTH = 100
 #: Bytes hashed for a minimizer, bytes hashed for a cut, and the mean length of a block.
-GRAM, CUT, BLOCK = 32, 16, 512
+GRAM, CUT, BLOCK = 24, 16, 512
 #: A minimizer in more blocks than this has its windows dealt one by one.
 HOT = 4000
 #: Bytes of text sorted at a time.
@@ -149,28 +150,28 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if size < width else h
 
 
-def blocks_of(text: np.ndarray, length: int, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(start of each block, its number of windows, their minimizers); a text without a window has no block.
+def blocks_of(text: np.ndarray, length: int, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(start of each block, its number of windows, (minimizers of all blocks, their number by block)).
 
-    A minimizer is listed once, but twice if its bytes occur again in the text.
+    A text without a window has no block. A minimizer is listed twice or more if its bytes occur again in the text.
     """
     windows = len(text) - length + 1
     if windows <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), []
+        return np.empty(0, np.int64), np.empty(0, np.int64), (np.empty(0, np.int64), np.empty(0, np.int64))
     cut, gram = hashes(text, CUT, GRAM)
     start = np.flatnonzero(cut[1:windows] < np.uint64((1 << 64) // BLOCK)) + 1
     start = np.r_[0, start]
     mini = sliding_least(gram, length - GRAM + 1)
     gram = np.sort(gram)
     again = gram[:-1][gram[1:] == gram[:-1]]
-    lists = []
     new = np.r_[True, mini[1:] != mini[:-1]]
-    for s, e in zip(start.tolist(), [*start[1:].tolist(), windows]):
-        own = new[s:e].copy()
-        own[0] = True
-        own = np.unique(mini[s:e][own])
-        lists.append(np.r_[own, own[np.isin(own, again)]].view(np.int64) if len(again) else own.view(np.int64))
-    return start, np.diff(np.r_[start, windows]), lists
+    new[start] = True
+    runs = np.flatnonzero(new)
+    block, own = np.searchsorted(start, runs, side="right") - 1, mini[runs].view(np.int64)
+    if len(again):
+        times = 1 + np.isin(own.view(np.uint64), again)
+        block, own = np.repeat(block, times), np.repeat(own, times)
+    return start, np.diff(np.r_[start, windows]), (own, np.bincount(block, minlength=len(start)))
 
 
 # ------------------------------------------------------------------------------------------ the distributed steps
@@ -180,29 +181,34 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+def _lists(values: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
+    ends = np.r_[0, np.cumsum(_joined(sizes))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(_joined(values), pa.int64()))
 
 
 def _doc_blocks(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            names, ids, tags, begins, counts, minis = [], [], [], [], [], []
+            names, ids, tags, begins, counts, minis, sizes = [], [], [], [], [], [], []
             for d, x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 text = _bytes(t.as_py())
-                start, count, mini = blocks_of(text, length, hashes)
+                start, count, (mini, size) = blocks_of(text, length, hashes)
                 raw = text.data
                 names += [xxhash.xxh3_128_digest(raw[s : s + n + length - 1]) for s, n in zip(start.tolist(), count.tolist())]
-                minis += mini
+                minis.append(mini)
+                sizes.append(size)
                 ids += [d] * len(start)
                 tags += [x] * len(start)
                 begins.append(start)
                 counts.append(count)
             cols = [pa.array(names, pa.binary()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64())]
-            cols.append(pa.array((np.concatenate(begins) << 32 | np.concatenate(counts)) if begins else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*cols, _lists(minis)], ["name", "d", "x", "block", "minis"])
+            cols.append(pa.array(_joined(begins) << 32 | _joined(counts), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*cols, _lists(minis, sizes)], ["name", "d", "x", "block", "minis"])
 
     return docs.mapInArrow(run, "name binary, d long, x long, block long, minis array<long>")
 
@@ -215,42 +221,53 @@ def _numpy(x: pa.ListScalar) -> np.ndarray:
     return np.empty(0, np.int64) if not x.is_valid else x.values.to_numpy(zero_copy_only=False)
 
 
-def _candidates(joined: DataFrame, length: int) -> DataFrame:
-    """Runs of windows to sort (key: their minimizer), and single windows of hot minimizers (key: null, name: their hash)."""
+def _runs(text: str | None, blocks: np.ndarray, minis: np.ndarray, length: int, hashes: Hashes) -> Iterator[tuple[int, int, int]]:
+    """(minimizer, first window, last window + 1) of the runs in ``blocks`` whose minimizer is one of ``minis``."""
+    minis = np.unique(minis)
+    mini = sliding_least(hashes(_bytes(text), GRAM)[0], length - GRAM + 1).view(np.int64)
+    for s, e in _ranges(blocks):
+        m = mini[s:e]
+        cuts = np.r_[0, np.flatnonzero(m[1:] != m[:-1]) + 1]
+        own = m[cuts]
+        good = minis[np.minimum(np.searchsorted(minis, own), len(minis) - 1)] == own
+        yield from zip(own[good].tolist(), (cuts[good] + s).tolist(), (np.r_[cuts[1:], len(m)][good] + s).tolist())
+
+
+def _run_texts(joined: DataFrame, length: int) -> DataFrame:
+    """(key, d, x, at, text): the runs of windows to sort; key is their minimizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[tuple] = []
             for r in range(b.num_rows):
-                minis, hot = _numpy(b.column(4)[r]), _numpy(b.column(5)[r])
-                if not len(minis):
-                    continue
-                d, x = b.column(0)[r].as_py(), b.column(1)[r].as_py()
-                text = _bytes(b.column(2)[r].as_py())
-                gram = hashes(text, GRAM)[0]
-                mini = sliding_least(gram, length - GRAM + 1).view(np.int64)
-                raw, minis = text.data, np.unique(minis)
-                for s, e in _ranges(_numpy(b.column(3)[r])):
-                    m = mini[s:e]
-                    at = np.minimum(np.searchsorted(minis, m), len(minis) - 1)
-                    repeated = minis[at] == m
-                    cuts = np.flatnonzero(m[1:] != m[:-1]) + 1
-                    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(m)]):
-                        if not repeated[i]:
-                            continue
-                        if len(hot) and (hot == m[i]).any():
-                            for p in range(s + i, s + j):
-                                for col, v in zip(out, (None, xxhash.xxh3_128_digest(raw[p : p + length]), d, x, p, None)):
-                                    col.append(v)
-                        else:
-                            for col, v in zip(out, (int(m[i]), None, d, x, s + i, bytes(raw[s + i : s + j + length - 1]))):
-                                col.append(v)
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["key", "name", "d", "x", "at", "text"])
-
-    wanted = joined.where("minis is not null").select("d", "x", "text", "blocks", "minis", "hot")
-    return wanted.mapInArrow(run, "key long, name binary, d long, x long, at long, text binary")
+                d, x, text = (b.column(i)[r].as_py() for i in range(3))
+                minis = np.setdiff1d(_numpy(b.column(4)[r]), _numpy(b.column(5)[r]))
+                if len(minis):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    out += ((m, d, x, i, raw[i : j + length - 1]) for m, i, j in _runs(text, _numpy(b.column(3)[r]), minis, length, hashes))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["key", "d", "x", "at", "text"])
+
+    wanted = joined.select("d", "x", "text", "blocks", "minis", "hot")
+    return wanted.mapInArrow(run, "key long, d long, x long, at long, text binary")
+
+
+def _single_windows(joined: DataFrame, length: int) -> DataFrame:
+    """(name, d, x, at): each window of a hot minimizer, with the hash of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in batches:
+            for r in range(b.num_rows):
+                d, x, text = (b.column(i)[r].as_py() for i in range(3))
+                raw = text.encode("utf-8", "surrogatepass")
+                at = [p for _, i, j in _runs(text, _numpy(b.column(3)[r]), _numpy(b.column(4)[r]), length, hashes) for p in range(i, j)]
+                cols = [[xxhash.xxh3_128_digest(raw[p : p + length]) for p in at], [d] * len(at), [x] * len(at), at]
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["name", "d", "x", "at"])
+
+    return joined.select("d", "x", "text", "blocks", "hot").mapInArrow(run, "name binary, d long, x long, at long")
 
 
 def covered_runs(d: np.ndarray, x: np.ndarray, at: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -279,18 +296,39 @@ def covered_runs(d: np.ndarray, x: np.ndarray, at: np.ndarray, texts: list[bytes
     return record[head], at[record[head]] + inner[head], at[record[tail]] + inner[tail] + length
 
 
+def _may_repeat_within(text: bytes, length: int) -> bool:
+    """Whether two windows of a run can be equal: what all its windows hold must then have a short period."""
+    c = len(text) - length
+    middle = text[c:length]
+    return len(middle) <= c or middle.find(middle[: len(middle) - c], 1) >= 0
+
+
 def _sorted_runs(runs: DataFrame, length: int, chunk: int) -> DataFrame:
-    """(d, x, s, e): covered byte ranges among the runs of each minimizer."""
+    """(d, x, s, e): covered byte ranges among the runs of each minimizer.
+
+    Of runs with equal bytes the first stands for all; the others are covered whole. Minimizers that are left with
+    one run need no sorting, unless that run can repeat itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            _, d, x, at, texts = zip(*rows)
-            d, x, at = (np.array(c, np.int64) for c in (d, x, at))
-            r, s, e = covered_runs(d, x, at, list(texts), length)
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in (d[r], x[r], s, e)], ["d", "x", "s", "e"])
+            least: dict[tuple, tuple] = {}
+            for key, d, x, at, text in rows:
+                if (old := least.get((key, text))) is None or (d, x, at) < old:
+                    least[key, text] = (d, x, at)
+            whole = [(d, x, at, at + len(text)) for key, d, x, at, text in rows if (d, x, at) != least[key, text]]
+            per = Counter(key for key, _ in least)
+            left = [(*v, text) for (key, text), v in least.items() if per[key] > 1 or _may_repeat_within(text, length)]
+            cols = [np.array(c, np.int64) for c in zip(*whole)] if whole else [np.empty(0, np.int64)] * 4
+            if left:
+                d, x, at, texts = zip(*left)
+                d, x, at = (np.array(c, np.int64) for c in (d, x, at))
+                r, s, e = covered_runs(d, x, at, list(texts), length)
+                cols = [np.r_[a, b] for a, b in zip(cols, (d[r], x[r], s, e))]
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["d", "x", "s", "e"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -302,8 +340,7 @@ def _sorted_runs(runs: DataFrame, length: int, chunk: int) -> DataFrame:
         if held:
             yield done(held)
 
-    dealt = runs.select("key", "d", "x", "at", "text").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "d long, x long, s long, e long")
+    return runs.repartition("key").sortWithinPartitions("key").mapInArrow(run, "d long, x long, s long, e long")
 
 
 def removed_spans(n: int, blocks: list[tuple[int, int]], covers: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -375,29 +412,28 @@ def repeated_bytes(
     keyed = _keyed(docs, id_col, text_col)
     found = _doc_blocks(keyed, length)
     first = found.groupBy("name").agg(F.min(F.struct("d", "x", "block", "minis")).alias("f"))
-    first = cut_lineage(first.select(F.xxhash64("name").alias("own"), "f.*"))
+    first = first.select(F.xxhash64("name").alias("own"), "f.*")
     shared = (
         first.select(F.explode("minis").alias("mini"), "own")
         .withColumn("n", F.count("*").over(Window.partitionBy("mini")))
         .where("n > 1")
         .groupBy("own")
-        .agg(F.collect_list("mini").alias("minis"), F.collect_list(F.when(F.col("n") > hot, F.col("mini"))).alias("hot"))
+        .agg(F.collect_set("mini").alias("minis"), F.collect_set(F.when(F.col("n") > hot, F.col("mini"))).alias("hot"))
     )
-    by_doc = (
-        first.select("own", "d", "x", "block", F.col("minis").alias("all"))
+    by_doc = cut_lineage(
+        first.select("own", "d", "x", "block")
         .join(shared, "own", "left")
         .groupBy("d", "x")
         .agg(F.collect_list("block").alias("blocks"), F.flatten(F.collect_list("minis")).alias("minis"), F.flatten(F.collect_list("hot")).alias("hot"))
     )
-    by_doc = cut_lineage(by_doc)
     texts = keyed.repartition("d", "x")
-    some = by_doc.where(F.size("minis") > 0)
-    found = cut_lineage(_candidates(texts.join(some, ["d", "x"]), length))
-    sorted_ = _sorted_runs(found.where("key is not null"), length, chunk)
-    single = found.where("key is null").select("name", "d", "x", "at")
-    firsts = single.groupBy("name").agg(F.min(F.struct("d", "x", "at")).alias("f"))
-    late = single.join(firsts, "name").where(F.struct("d", "x", "at") != F.col("f"))
-    covers = sorted_.union(late.select("d", "x", F.col("at").alias("s"), (F.col("at") + length).alias("e")))
+    covers = _sorted_runs(_run_texts(texts.join(by_doc.where(F.size("minis") > 0), ["d", "x"]), length), length, chunk)
+    with_hot = by_doc.where(F.size("hot") > 0)
+    if not with_hot.isEmpty():
+        single = cut_lineage(_single_windows(texts.join(with_hot, ["d", "x"]), length))
+        firsts = single.groupBy("name").agg(F.min(F.struct("d", "x", "at")).alias("f"))
+        late = single.join(firsts, "name").where(F.struct("d", "x", "at") != F.col("f"))
+        covers = covers.union(late.select("d", "x", F.col("at").alias("s"), (F.col("at") + length).alias("e")))
     covers = covers.groupBy("d", "x").agg(F.collect_list(_packed("s", "e")).alias("covers"))
     joined = texts.join(by_doc.select("d", "x", "blocks"), ["d", "x"], "left").join(covers, ["d", "x"], "left")
     out = _finish(joined, length, with_text)
