@@ -34,7 +34,7 @@ def _windows() -> Column:
     """(hash, first word) of every window of WINDOW words, in the order of the hash."""
     windows = F.size("w") - (WINDOW - 1)
     key = lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(WINDOW)))
-    return F.when(windows >= 2, F.array_sort(F.transform(F.sequence(F.lit(0), windows - 1), lambda i: F.struct(key(i).alias("k"), i.alias("i")))))
+    return F.when(windows >= 2, F.sort_array(F.transform(F.sequence(F.lit(0), windows - 1), lambda i: F.struct(key(i).alias("k"), i.alias("i")))))
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,7 +61,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     own = own.withColumn(
         "at",
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.filter("pairs", lambda p, i: (p["k"] == F.get("pairs", i - 1)["k"]) | (p["k"] == F.get("pairs", i + 1)["k"])),
                 lambda p: p["i"],
