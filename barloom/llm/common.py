@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,15 +26,18 @@ def small_batches(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` kept in the checkpoint folder of the session (``spark.checkpoint.dir``), which all executors share.
 
-    Where the session names no folder (tests on one machine), a temporary one is set. Shuffle files of steps that
-    nothing refers to any more are given back at once, not when the driver happens to collect its garbage.
+    Where the session names no folder (tests on one machine), a temporary one is set.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-"))
-    kept = df.checkpoint()
-    sc._jvm.System.gc()
-    return kept
+    return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Gives back the shuffle files of steps that nothing refers to any more, not when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def columns(df: DataFrame, **wanted: str) -> DataFrame:

@@ -13,7 +13,8 @@ A text is bytes; a *window* is ``length`` consecutive bytes of one document. Eve
    sorted and named, names are sorted by recursion, the remaining suffixes are merged, and adjacent suffixes are
    compared by their first ``length`` bytes. The recursion ends at the depth that ``length`` bytes need.
 4. Windows of minimizers that very many blocks share aren't gathered by minimizer: each is dealt by a 128-bit hash of
-   its own bytes, and its first occurrence is a minimum combined before the shuffle.
+   its own bytes, and only its first occurrence is sought, a minimum combined before the shuffle; all others of a text
+   are covered.
 
 No step keeps all occurrences of a string in one task, drops any, or looks at less than the whole text.
 """
@@ -30,15 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import columns, cut_lineage, small_batches
+from barloom.llm.common import columns, cut_lineage, release, small_batches
 
 LENGTH = 100
 #: Bytes hashed for a minimizer, bytes hashed for a cut, and the mean length of a block.
 GRAM, CUT, BLOCK = 24, 16, 512
 #: A minimizer in more blocks than this has its windows dealt one by one.
-HOT = 4000
+HOT = 20_000
 #: Bytes of text sorted at a time.
-CHUNK = 1_000_000
+CHUNK = 60_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), dtype="<u8")
@@ -47,39 +48,44 @@ _BYTES = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).diges
 # ------------------------------------------------------------------------------------------ suffix sorting
 
 
+def _sorted_by(*keys: np.ndarray) -> np.ndarray:
+    """Order by the keys, the first one first. Small keys as 16-bit words, which numpy sorts by radix."""
+    if all(len(k) == 0 or k.max() < 1 << 16 for k in keys):
+        keys = tuple(k.astype(np.uint16) for k in keys)
+    return np.lexsort(keys[::-1])
+
+
 def suffix_order(s: np.ndarray, need: int) -> np.ndarray:
     """Starts of the suffixes of ``s`` (positive integers), sorted by their first ``need`` symbols at least."""
     n = len(s)
+    pad = np.zeros(n + 5, np.int64)
+    pad[:n] = s
     if need <= 1 or n < 3:
-        width = min(max(need, 1), 3) if n >= 3 else 3
-        pad = np.r_[s, np.zeros(3, np.int64)]
-        return np.lexsort([pad[i : i + n] for i in reversed(range(width))])
-    top = int(s.max()) + 1
-    pad = np.r_[s.astype(np.int64), np.zeros(5, np.int64)]
+        return _sorted_by(*(pad[i : i + n] for i in range(1 if n >= 3 else 3)))
     extra = n % 3 == 1  # a triple of blanks then ends the first half of the sample
-    ones, twos = np.arange(1, n + extra, 3), np.arange(2, n, 3)
-    sample = np.r_[ones, twos]
-    pair = pad[sample] * top + pad[sample + 1]
-    if top**3 > 1 << 62:
-        pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-    kinds, names = np.unique(pair * top + pad[sample + 2], return_inverse=True)
-    names = names.astype(np.int64) + 1
-    if len(kinds) == len(sample):
-        order = np.empty(len(sample), np.int64)
-        order[names - 1] = np.arange(len(sample))
-    else:
+    sample = np.r_[np.arange(1, n + extra, 3), np.arange(2, n, 3)]
+    triple = pad[sample], pad[sample + 1], pad[sample + 2]
+    order = _sorted_by(*triple)
+    new = np.zeros(len(order), bool)
+    for x in triple:
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    kinds = np.cumsum(new) + 1
+    if kinds[-1] < len(order):
+        names = np.empty(len(order), np.int64)
+        names[order] = kinds
         order = suffix_order(names, -(-need // 3) + 1)
     rank = np.zeros(n + 5, np.int64)
-    rank[sample[order]] = np.arange(1, len(order) + 1)
     in_order = sample[order]
+    rank[in_order] = np.arange(1, len(order) + 1)
     in_order = in_order[in_order < n]
     ranks = len(order) + 2
     zeros = np.arange(0, n, 3)
-    key = pad[zeros] * ranks + rank[zeros + 1]
-    by = np.argsort(key, kind="stable")
-    zeros, key = zeros[by], key[by]
-    first, second = in_order[in_order % 3 == 1], in_order[in_order % 3 == 2]
-    before = np.searchsorted(pad[first] * ranks + rank[first + 1], key)
+    zeros = zeros[_sorted_by(pad[zeros], rank[zeros + 1])]
+    kind = in_order % 3
+    first, second = in_order[kind == 1], in_order[kind == 2]
+    before = np.searchsorted(pad[first] * ranks + rank[first + 1], pad[zeros] * ranks + rank[zeros + 1])
+    top = int(pad.max()) + 1
     heads = np.r_[pad[second] * top + pad[second + 1], pad[zeros] * top + pad[zeros + 1]]
     if top * top * ranks > 1 << 62:
         heads = np.unique(heads, return_inverse=True)[1].astype(np.int64)
@@ -98,16 +104,15 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np
     wanted = np.zeros(len(text), bool)
     wanted[starts] = True
     order = order[wanted[order]]
-    a, b = order[:-1], order[1:]
-    same = np.ones(len(a), bool)
-    live = np.arange(len(a))
-    for i in range(0, length, 4):
-        w = min(4, length - i)
-        if not len(live):
-            break
-        ok = np.ones(len(live), bool)
-        for j in range(i, i + w):
-            ok &= text[a[live] + j] == text[b[live] + j]
+    # four bytes at a time, as little-endian words at every place
+    word = text.astype(np.uint32)
+    word[:-1] |= word[1:] << np.uint32(8)
+    word[:-2] |= (word[2:] & np.uint32(0xFFFF)) << np.uint32(16)
+    same = np.ones(len(order) - 1, bool)
+    live = np.arange(len(order) - 1)
+    for i in [*range(0, length - 4, 4), length - 4]:
+        w = word[order + i]
+        ok = w[live] == w[live + 1]
         same[live[~ok]] = False
         live = live[ok]
     return order, np.r_[0, np.cumsum(~same)]
@@ -221,10 +226,10 @@ def _numpy(x: pa.ListScalar) -> np.ndarray:
     return np.empty(0, np.int64) if not x.is_valid else x.values.to_numpy(zero_copy_only=False)
 
 
-def _runs(text: str | None, blocks: np.ndarray, minis: np.ndarray, length: int, hashes: Hashes) -> Iterator[tuple[int, int, int]]:
+def _runs(raw: bytes, blocks: np.ndarray, minis: np.ndarray, length: int, hashes: Hashes) -> Iterator[tuple[int, int, int]]:
     """(minimizer, first window, last window + 1) of the runs in ``blocks`` whose minimizer is one of ``minis``."""
     minis = np.unique(minis)
-    mini = sliding_least(hashes(_bytes(text), GRAM)[0], length - GRAM + 1).view(np.int64)
+    mini = sliding_least(hashes(np.frombuffer(raw, np.uint8), GRAM)[0], length - GRAM + 1).view(np.int64)
     for s, e in _ranges(blocks):
         m = mini[s:e]
         cuts = np.r_[0, np.flatnonzero(m[1:] != m[:-1]) + 1]
@@ -245,7 +250,7 @@ def _run_texts(joined: DataFrame, length: int) -> DataFrame:
                 minis = np.setdiff1d(_numpy(b.column(4)[r]), _numpy(b.column(5)[r]))
                 if len(minis):
                     raw = text.encode("utf-8", "surrogatepass")
-                    out += ((m, d, x, i, raw[i : j + length - 1]) for m, i, j in _runs(text, _numpy(b.column(3)[r]), minis, length, hashes))
+                    out += ((m, d, x, i, raw[i : j + length - 1]) for m, i, j in _runs(raw, _numpy(b.column(3)[r]), minis, length, hashes))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["key", "d", "x", "at", "text"])
 
@@ -262,7 +267,7 @@ def _single_windows(joined: DataFrame, length: int) -> DataFrame:
             for r in range(b.num_rows):
                 d, x, text = (b.column(i)[r].as_py() for i in range(3))
                 raw = text.encode("utf-8", "surrogatepass")
-                at = [p for _, i, j in _runs(text, _numpy(b.column(3)[r]), _numpy(b.column(4)[r]), length, hashes) for p in range(i, j)]
+                at = [p for _, i, j in _runs(raw, _numpy(b.column(3)[r]), _numpy(b.column(4)[r]), length, hashes) for p in range(i, j)]
                 cols = [[xxhash.xxh3_128_digest(raw[p : p + length]) for p in at], [d] * len(at), [x] * len(at), at]
                 kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["name", "d", "x", "at"])
@@ -363,11 +368,19 @@ def removed_spans(n: int, blocks: list[tuple[int, int]], covers: list[tuple[int,
 
 def _finish(joined: DataFrame, length: int, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for b in batches:
             rows = []
             for r in range(b.num_rows):
                 raw = _bytes(b.column(2)[r].as_py()).tobytes()
-                spans = removed_spans(len(raw), _ranges(_numpy(b.column(3)[r])), _ranges(_numpy(b.column(4)[r])), length)
+                blocks, covers, hot = (_numpy(b.column(i)[r]) for i in (3, 4, 5))
+                covers = _ranges(covers)
+                if len(hot):
+                    firsts = np.sort(_numpy(b.column(6)[r]))
+                    for _, i, j in _runs(raw, blocks, hot, length, hashes):
+                        stops = [i - 1, *firsts[np.searchsorted(firsts, i) : np.searchsorted(firsts, j)].tolist(), j]
+                        covers += ((p + 1, q - 1 + length) for p, q in zip(stops, stops[1:]) if q > p + 1)
+                spans = removed_spans(len(raw), _ranges(blocks), covers, length)
                 keep = raw
                 if spans:
                     ends = [0, *(e for _, e in spans)]
@@ -379,7 +392,7 @@ def _finish(joined: DataFrame, length: int, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, x long"
-    return joined.select("d", "x", "text", "blocks", "covers").mapInArrow(run, schema)
+    return joined.select("d", "x", "text", "blocks", "covers", "hot", "firsts").mapInArrow(run, schema)
 
 
 _NULL_ID = -(1 << 63)
@@ -426,16 +439,14 @@ def repeated_bytes(
         .groupBy("d", "x")
         .agg(F.collect_list("block").alias("blocks"), F.flatten(F.collect_list("minis")).alias("minis"), F.flatten(F.collect_list("hot")).alias("hot"))
     )
+    release(docs.sparkSession)
     texts = keyed.repartition("d", "x")
     covers = _sorted_runs(_run_texts(texts.join(by_doc.where(F.size("minis") > 0), ["d", "x"]), length), length, chunk)
-    with_hot = by_doc.where(F.size("hot") > 0)
-    if not with_hot.isEmpty():
-        single = cut_lineage(_single_windows(texts.join(with_hot, ["d", "x"]), length))
-        firsts = single.groupBy("name").agg(F.min(F.struct("d", "x", "at")).alias("f"))
-        late = single.join(firsts, "name").where(F.struct("d", "x", "at") != F.col("f"))
-        covers = covers.union(late.select("d", "x", F.col("at").alias("s"), (F.col("at") + length).alias("e")))
     covers = covers.groupBy("d", "x").agg(F.collect_list(_packed("s", "e")).alias("covers"))
-    joined = texts.join(by_doc.select("d", "x", "blocks"), ["d", "x"], "left").join(covers, ["d", "x"], "left")
+    single = _single_windows(texts.join(by_doc.where(F.size("hot") > 0), ["d", "x"]), length)
+    firsts = single.groupBy("name").agg(F.min(F.struct("d", "x", "at")).alias("f")).select("f.*")
+    firsts = firsts.groupBy("d", "x").agg(F.collect_list("at").alias("firsts"))
+    joined = texts.join(by_doc.select("d", "x", "blocks", "hot"), ["d", "x"], "left").join(covers, ["d", "x"], "left").join(firsts, ["d", "x"], "left")
     out = _finish(joined, length, with_text)
     kept = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
     return out.select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), *kept, *(["x"] if with_text else []))
