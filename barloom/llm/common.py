@@ -23,14 +23,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; a temporary one is set where the session names none."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` kept in the checkpoint folder of the session (``spark.checkpoint.dir``), which all executors share.
 
     Where the session names no folder (tests on one machine), a temporary one is set.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-"))
+    work_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -238,7 +238,7 @@ def _runs(raw: bytes, blocks: np.ndarray, minis: np.ndarray, length: int, hashes
         yield from zip(own[good].tolist(), (cuts[good] + s).tolist(), (np.r_[cuts[1:], len(m)][good] + s).tolist())
 
 
-def _run_texts(joined: DataFrame, length: int) -> DataFrame:
+def _run_texts(joined: DataFrame, length: int, rest: list[str]) -> DataFrame:
     """(key, d, x, at, text): the runs of windows to sort; key is their minimizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +254,11 @@ def _run_texts(joined: DataFrame, length: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["key", "d", "x", "at", "text"])
 
-    wanted = joined.select("d", "x", "text", "blocks", "minis", "hot")
+    wanted = joined.select("d", "x", "text", "blocks", "minis", "hot", *rest)  # rest only so that the texts' shuffle is shared
     return wanted.mapInArrow(run, "key long, d long, x long, at long, text binary")
 
 
-def _single_windows(joined: DataFrame, length: int) -> DataFrame:
+def _single_windows(joined: DataFrame, length: int, rest: list[str]) -> DataFrame:
     """(name, d, x, at): each window of a hot minimizer, with the hash of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +272,7 @@ def _single_windows(joined: DataFrame, length: int) -> DataFrame:
                 kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["name", "d", "x", "at"])
 
-    return joined.select("d", "x", "text", "blocks", "hot").mapInArrow(run, "name binary, d long, x long, at long")
+    return joined.select("d", "x", "text", "blocks", "hot", *rest).mapInArrow(run, "name binary, d long, x long, at long")
 
 
 def covered_runs(d: np.ndarray, x: np.ndarray, at: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -366,7 +366,7 @@ def removed_spans(n: int, blocks: list[tuple[int, int]], covers: list[tuple[int,
     return out
 
 
-def _finish(joined: DataFrame, length: int, with_text: bool) -> DataFrame:
+def _finish(joined: DataFrame, length: int, rest: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
@@ -386,44 +386,45 @@ def _finish(joined: DataFrame, length: int, with_text: bool) -> DataFrame:
                     ends = [0, *(e for _, e in spans)]
                     keep = b"".join(raw[e:s] for e, s in zip(ends, [*(s for s, _ in spans), len(raw)]))
                 row = (b.column(0)[r].as_py(), len(raw), len(raw) - len(keep), len(spans), hashlib.sha256(keep).hexdigest())
-                rows.append((*row, keep.decode("utf-8", "ignore") if with_text else None, b.column(1)[r].as_py()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "x"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+                rows.append((*row, keep.decode("utf-8", "ignore") if rest else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *rest]
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[7:]], names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, x long"
-    return joined.select("d", "x", "text", "blocks", "covers", "hot", "firsts").mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    schema += "".join(f", {c} {joined.schema[c].dataType.simpleString()}" for c in rest)
+    return joined.select("d", "x", "text", "blocks", "covers", "hot", "firsts", *rest).mapInArrow(run, schema)
 
 
 _NULL_ID = -(1 << 63)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    own = columns(docs, d=id_col, text=text_col)
-    text = F.coalesce("text", F.lit(""))
-    return own.select(F.coalesce(F.col("d").cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(text).alias("x"), text.alias("text"))
-
-
 def _packed(s: str, e: str) -> Column:
     return F.shiftleft(F.col(s), 32).bitwiseOR(F.col(e) - F.col(s))
 
 
 def repeated_bytes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, chunk: int = CHUNK, with_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT, chunk: int = CHUNK, whole_rows: bool = False
 ) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]): one row a row of ``docs``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): one row a row of ``docs``.
+
+    With ``whole_rows`` instead ``docs`` itself, with what remains in ``text_col``, a character cut in two left out, and
+    a null text still null.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier. n_spans counts the maximal removed
-    runs; kept_sha256 is that of the remaining bytes. kept_text is them as text, a character cut in two left out.
-    A null text counts as empty and loses nothing, as does a text shorter than ``length``. Rows that share a doc_id are
+    runs; kept_sha256 is that of the remaining bytes. A null text counts as empty and loses nothing, as does a text shorter than ``length``. Rows that share a doc_id are
     documents of their own, in the order of a hash of their texts; rows that repeat both id and text are one document
     and get equal results. A null doc_id sorts first. An empty table gives an empty result.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     small_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col)
-    found = _doc_blocks(keyed, length)
+    own = columns(docs, d=id_col, text=text_col)
+    text = F.coalesce("text", F.lit(""))
+    keys = [F.coalesce(F.col("d").cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(text).alias("x"), text.alias("text")]
+    rest = ["rest"] if whole_rows else []
+    found = _doc_blocks(own.select(*keys), length)
     first = found.groupBy("name").agg(F.min(F.struct("d", "x", "block", "minis")).alias("f"))
     first = first.select(F.xxhash64("name").alias("own"), "f.*")
     shared = (
@@ -440,13 +441,18 @@ def repeated_bytes(
         .agg(F.collect_list("block").alias("blocks"), F.flatten(F.collect_list("minis")).alias("minis"), F.flatten(F.collect_list("hot")).alias("hot"))
     )
     release(docs.sparkSession)
-    texts = keyed.repartition("d", "x")
-    covers = _sorted_runs(_run_texts(texts.join(by_doc.where(F.size("minis") > 0), ["d", "x"]), length), length, chunk)
+    if rest:
+        others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.col(f"`{text_col}`").isNull().alias("_no_text"))
+        own = docs.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text_col}`").alias("text"), others.alias("rest"))
+    texts = own.select(*keys, *rest).repartition("d", "x")
+    covers = _sorted_runs(_run_texts(texts.join(by_doc.where(F.size("minis") > 0), ["d", "x"]), length, rest), length, chunk)
     covers = covers.groupBy("d", "x").agg(F.collect_list(_packed("s", "e")).alias("covers"))
-    single = _single_windows(texts.join(by_doc.where(F.size("hot") > 0), ["d", "x"]), length)
+    single = _single_windows(texts.join(by_doc.where(F.size("hot") > 0), ["d", "x"]), length, rest)
     firsts = single.groupBy("name").agg(F.min(F.struct("d", "x", "at")).alias("f")).select("f.*")
     firsts = firsts.groupBy("d", "x").agg(F.collect_list("at").alias("firsts"))
     joined = texts.join(by_doc.select("d", "x", "blocks", "hot"), ["d", "x"], "left").join(covers, ["d", "x"], "left").join(firsts, ["d", "x"], "left")
-    out = _finish(joined, length, with_text)
-    kept = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
-    return out.select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), *kept, *(["x"] if with_text else []))
+    out = _finish(joined, length, rest)
+    if rest:
+        text = F.when(~F.col("rest._no_text"), F.col("kept_text"))
+        return out.select(*(text.alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))
+    return out.select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
