@@ -103,4 +103,4 @@ ranked as (select t, d, ticker, score, row_number() over (partition by t order b
 
 
 def query(ctes: str, body: str = "") -> str:
-    return f"with {ctes} {body}"
+    return f"with {ctes}{body}" if body.startswith(",") else f"with {ctes} {body}"
