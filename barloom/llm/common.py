@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Gives back the shuffle files of steps that nothing refers to any more, not when the driver next collects garbage."""
     gc.collect()
+    time.sleep(0.5)  # the driver's JVM learns a moment later what Python has let go
     spark.sparkContext._jvm.System.gc()
 
 

@@ -163,10 +163,122 @@ def near_duplicates(
     return fp.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose document is the first of its component; of rows that repeat that id, all stay.
+# ------------------------------------------------------------------------------------------ copies with more edits
 
-    Rows with a null id stay only where their component has no other document.
+#: 128 bits of 5-word shingles: texts of similarity 0.8 differ in 19 bits on average, of 0.7 in 25, unrelated ones in 64.
+WIDE_SHINGLE, WIDE_BITS = 5, 23
+#: Groups of segments that make grids, and segments of a group: a link of 19 bits meets in one of them with probability 0.95.
+TABLES, GROUP = 64, 10
+
+
+def wide_simhash(text: str | None, shingle: int = WIDE_SHINGLE) -> bytes:
+    """128 bits, as in ``simhash``, over XXH3 of the shingles; no word gives zeros."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return bytes(16)
+    digest = xxhash.xxh3_128_digest
+    parts = [b" ".join(w)] if len(w) < shingle else map(b" ".join, zip(*(w[i:] for i in range(shingle))))
+    h = np.frombuffer(b"".join([digest(p) for p in parts]), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, dtype=np.int64)
+    for i in range(0, len(h), 32768):
+        ones += np.unpackbits(h[i : i + 32768], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h)).tobytes()
+
+
+def _wide_groups() -> np.ndarray:
+    """TABLES groups of GROUP of the 64 segments, by a fixed rule: steps of an odd width from a start, so all take part alike."""
+    return np.array([[(7 * t + (2 * (t % 16) + 1) * (k + t // 16 * GROUP)) % 64 for k in range(GROUP)] for t in range(TABLES)])
+
+
+def _wide_cells(docs: DataFrame) -> DataFrame:
+    groups = _wide_groups()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, 16)
+            counts = np.unpackbits(raw, axis=1).reshape(-1, 64, 2).sum(axis=2).astype(np.int64)
+            powers = 3 ** np.arange(GROUP)
+            keys = [(counts[:, g] * powers).sum(axis=1) + t * 3**GROUP for t, g in enumerate(groups)]
+            words = raw.view(">i8").astype(np.int64)
+            cols = [np.concatenate(keys), np.tile(words[:, 0], TABLES), np.tile(words[:, 1], TABLES)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "hi", "lo"])
+
+    return docs.mapInArrow(run, "cell long, hi long, lo long")
+
+
+def _wide_forest(hi: np.ndarray, lo: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    found, left = [], np.arange(len(hi))
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            near = np.bitwise_count(hi[left] ^ hi[at]) + np.bitwise_count(lo[left] ^ lo[at]) <= max_bits
+            if near.any():
+                new = left[near].tolist()
+                found += [(at, x) for x in new]
+                queue += new
+                left = left[~near]
+    return found
+
+
+def _wide_links(cells: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): links within the cells as spanning forests, by the hashes of the fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4
+
+        def done(cell: np.ndarray, hi: np.ndarray, lo: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            cuts = np.flatnonzero(np.diff(cell)) + 1
+            a, b = [], []
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)]):
+                if e - s > 1:
+                    for x, y in _wide_forest(hi[s:e].view(np.uint64), lo[s:e].view(np.uint64), max_bits):
+                        a.append(own[s + x])
+                        b.append(own[s + y])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            held = [np.r_[h, c.to_numpy()] for h, c in zip(held, batch.columns)]
+            if len(held[0]) and (whole := int(np.searchsorted(held[0], held[0][-1]))):
+                yield done(*(h[:whole] for h in held))
+                held = [h[whole:] for h in held]
+        if len(held[0]):
+            yield done(*held)
+
+    dealt = cells.select("cell", "hi", "lo", F.xxhash64("hi", "lo").alias("own")).repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, max_bits: int = WIDE_BITS) -> DataFrame:
+    """(doc_id, component_id), a row a row of ``docs``: groups of texts of similarity 0.8 or so and more.
+
+    The same segment counts as above, over 128 bits: here each of TABLES groups of segments makes a grid, texts that
+    share a cell are verified by their exact distance, at most ``max_bits``. Unlike the links of three bits, a link may
+    be missed, the likelier the farther it is; equal texts never are. Null and empty texts are one group; null ids are
+    treated as in ``near_duplicates``.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_simhash(t.as_py(), shingle) for t in b.column(1)], pa.binary())], ["doc_id", "fp"])
+
+    own = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
+    fp = cut_lineage(own.mapInArrow(run, "doc_id long, fp binary"))
+    first = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    word = lambda at: F.conv(F.hex(F.substring("fp", at, 8)), 16, -10).cast("long")
+    first = first.withColumn("own", F.xxhash64(word(1), word(9)))
+    roots = connected_components(_wide_links(_wide_cells(first.select("fp")), max_bits))
+    named = first.join(roots, first.own == roots.node, "left").select("fp", "first", F.coalesce("root", "own").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return fp.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose document is the first of its component in ``labels`` (``near_copies`` by default).
+
+    Of rows that repeat that id, all stay. Rows with a null id stay only where their component has no other document.
     """
-    label = near_duplicates(docs, id_col, text_col, **how).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(label, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")), "left_semi")
+    labels = near_copies(docs, id_col, text_col) if labels is None else labels
+    kept = labels.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")), "left_semi")

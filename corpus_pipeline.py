@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles) the document with the smallest id stays."""
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
