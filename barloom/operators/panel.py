@@ -10,14 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROLL, VOL_WINDOW, VOL_MIN, VALUE_WINDOW = 5, 60, 40, 20
-BY = Window.partitionBy("ticker").orderBy("t")
-PAST = BY.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = BY.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def by():
+    """Sessions of a ticker in order. Windows are made when asked for, as they need a session."""
+    return Window.partitionBy("ticker").orderBy("t")
+
+
+def past():
+    return by().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before():
+    return by().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def back(n: int, skip: int = 0) -> Window:
     """The n sessions that end ``skip`` sessions ago."""
-    return BY.rowsBetween(-(n - 1) - skip, -skip)
+    return by().rowsBetween(-(n - 1) - skip, -skip)
 
 
 def sessions(bars: DataFrame) -> DataFrame:
@@ -34,13 +44,13 @@ def dense(bars: DataFrame) -> DataFrame:
 
 def carry_forward(panel: DataFrame, roll: int = ROLL) -> DataFrame:
     """cf: the close, over at most ``roll`` missing sessions the one before."""
-    last_t = F.max(F.when(F.col("c").isNotNull(), F.col("t"))).over(PAST)
-    return panel.withColumn("cf", F.when(F.col("t") - last_t <= roll, F.last("c", True).over(PAST)))
+    last_t = F.max(F.when(F.col("c").isNotNull(), F.col("t"))).over(past())
+    return panel.withColumn("cf", F.when(F.col("t") - last_t <= roll, F.last("c", True).over(past())))
 
 
 def log_return(panel: DataFrame) -> DataFrame:
     """ret: log of cf over the cf before it, however long ago that was."""
-    return panel.withColumn("pcf", F.last("cf", True).over(BEFORE)).withColumn("ret", F.when((F.col("cf") > 0) & (F.col("pcf") > 0), F.log(F.col("cf") / F.col("pcf")))).drop("pcf")
+    return panel.withColumn("pcf", F.last("cf", True).over(before())).withColumn("ret", F.when((F.col("cf") > 0) & (F.col("pcf") > 0), F.log(F.col("cf") / F.col("pcf")))).drop("pcf")
 
 
 def ring(column: str, n: int) -> Window:
@@ -51,7 +61,7 @@ def ring(column: str, n: int) -> Window:
 def volatility(panel: DataFrame, window: int = VOL_WINDOW, least: int = VOL_MIN) -> DataFrame:
     """sigma: population deviation of the last ``window`` returns there are, from ``least`` on."""
     own = ring("_n", window)
-    counted = panel.withColumn("_n", F.count("ret").over(PAST))
+    counted = panel.withColumn("_n", F.count("ret").over(past()))
     return counted.withColumn("sigma", F.when(F.count("ret").over(own) >= least, F.stddev_pop("ret").over(own))).drop("_n")
 
 
@@ -63,7 +73,7 @@ def upper_median(values: Column, n: Column | int) -> Column:
 def traded_value(panel: DataFrame, window: int = VALUE_WINDOW, unit: float = 1.0) -> DataFrame:
     """value: upper median of close times volume of the last ``window`` bars; null without a bar that day."""
     one = F.when(F.col("c").isNotNull() & (F.col("v") >= 0), F.col("c") * F.col("v") / F.lit(unit))
-    counted = panel.withColumn("_x", one).withColumn("_n", F.count("_x").over(PAST))
+    counted = panel.withColumn("_x", one).withColumn("_n", F.count("_x").over(past()))
     own = ring("_n", window)
     full = F.col("c").isNotNull() & (F.count("_x").over(own) == window)
     return counted.withColumn("value", F.when(full, upper_median(F.collect_list("_x").over(own), window))).drop("_x", "_n")
@@ -71,7 +81,7 @@ def traded_value(panel: DataFrame, window: int = VALUE_WINDOW, unit: float = 1.0
 
 def first_bar(panel: DataFrame) -> DataFrame:
     """first_t: the session of a ticker's first bar, once it has had one."""
-    return panel.withColumn("first_t", F.min(F.when(F.col("c").isNotNull(), F.col("t"))).over(PAST))
+    return panel.withColumn("first_t", F.min(F.when(F.col("c").isNotNull(), F.col("t"))).over(past()))
 
 
 def features(bars: DataFrame, roll: int = ROLL, unit: float = 1.0) -> DataFrame:
@@ -80,7 +90,7 @@ def features(bars: DataFrame, roll: int = ROLL, unit: float = 1.0) -> DataFrame:
 
 def change(a: int, b: int = 0) -> Column:
     """cf of b sessions ago over that of a sessions ago, less one."""
-    x, y = F.lag("cf", a).over(BY), F.lag("cf", b).over(BY) if b else F.col("cf")
+    x, y = F.lag("cf", a).over(by()), F.lag("cf", b).over(by()) if b else F.col("cf")
     return F.when((x > 0) & (y > 0), y / x - 1)
 
 

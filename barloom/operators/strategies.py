@@ -7,14 +7,17 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.panel import BY, back, change
+from barloom.operators.panel import back, change
 
 COMMON = {"rebalance": 21, "warmup": 260, "capsd": 1.5, "capmax": 0.03, "maxdays": 260}
 REGISTRY: dict[str, tuple[Callable[[Mapping[str, float]], Column], dict[str, float], str]] = {}
 
 
 def strategy(name: str, about: str, **defaults: float):
-    """Registers a function of the parameters that returns the score as a column over the panel with mkt."""
+    """Registers a function of the parameters that returns the score as a column over the panel with mkt.
+
+    It may return a pair instead: named windows that the score is made of, each then computed once, and the score.
+    """
 
     def add(f):
         REGISTRY[name] = (f, COMMON | defaults, about)
@@ -61,24 +64,27 @@ def _sums(n: int, skip: int = 0) -> dict[str, Column]:
 @strategy("reversal", "a week's fall beyond the market's", rebalance=5, window=5, beta=252)
 def reversal(p):
     b, n = int(p["beta"]), int(p["window"])
-    s, w = _sums(b), back(n)
+    w = back(n)
+    parts = {f"_{k}": v for k, v in _sums(b).items()} | {"_rn": F.count("ret").over(w), "_rs": F.sum("ret").over(w), "_ms": F.sum("mkt").over(w)}
+    s = {k.removeprefix("_"): F.col(k) for k in parts}
     den = s["n"] * s["xx"] - s["x"] * s["x"]
     beta = F.when(den > 1e-14, (s["n"] * s["xy"] - s["x"] * s["y"]) / den).otherwise(0.0)
-    resid = F.sum("ret").over(w) - beta * F.sum("mkt").over(w)
+    resid = s["rs"] - beta * s["ms"]
     z = resid / (F.col("sigma") * F.sqrt(F.lit(float(n))))
-    ok = (F.count("ret").over(w) == n) & (s["n"] >= 0.8 * b) & (F.col("sigma") > 1e-12)
-    return F.when(ok & (z < 0), -z)
+    ok = (s["rn"] == n) & (s["n"] >= 0.8 * b) & (F.col("sigma") > 1e-12)
+    return parts, F.when(ok & (z < 0), -z)
 
 
 @strategy("resmom", "last year's return beyond the market's, over its noise", lookback=252, skip=21)
 def resmom(p):
     n, skip = int(p["lookback"]), int(p["skip"])
-    s = _sums(n - skip, skip)
+    parts = {f"_{k}": v for k, v in _sums(n - skip, skip).items()}
+    s = {k.removeprefix("_"): F.col(k) for k in parts}
     den = s["n"] * s["xx"] - s["x"] * s["x"]
     beta = F.when(den > 1e-14, (s["n"] * s["xy"] - s["x"] * s["y"]) / den).otherwise(0.0)
     alpha = (s["y"] - beta * s["x"]) / s["n"]
     var = (s["yy"] - s["y"] * s["y"] / s["n"]) / s["n"] - beta * (s["xy"] - s["x"] * s["y"] / s["n"]) / s["n"]
-    return F.when((s["n"] >= 120) & (var > 1e-14), alpha * F.sqrt(s["n"]) / F.sqrt(F.greatest(var, F.lit(0.0))))
+    return parts, F.when((s["n"] >= 120) & (var > 1e-14), alpha * F.sqrt(s["n"]) / F.sqrt(F.greatest(var, F.lit(0.0))))
 
 
 @strategy("high52", "nearness to the year's highest close", lookback=252)
@@ -102,7 +108,8 @@ def scores(panel: DataFrame, name: str, invert: bool = False, **given: float) ->
     """(t, d, ticker, score, tradable, ...): the panel with the strategy's score; ``invert`` negates it."""
     p = parameters(name, **given)
     score = REGISTRY[name][0](p)
-    return panel.withColumn("score", -score if invert else score)
+    parts, score = score if isinstance(score, tuple) else ({}, score)
+    return panel.withColumns(parts).withColumn("score", -score if invert else score).drop(*parts)
 
 
 def rebalance_days(rows: DataFrame, rebalance: int, warmup: int) -> DataFrame:

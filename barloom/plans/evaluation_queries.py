@@ -29,9 +29,9 @@ select t, ticker, round(rate, 8) + 0.0 rate from (select t, ticker, avg(hit) ove
 )
 def fill_rate_year(spark, sf_dir):
     p = panel.features(bars(spark, sf_dir))
-    nxt = F.lead("o").over(panel.BY)
+    nxt = F.lead("o").over(panel.by())
     hit = F.when(nxt.isNotNull() & F.col("cf").isNotNull(), (nxt <= F.col("cf") * (1 + costs.cap(F.col("sigma")))).cast("double"))
-    rate = F.avg("hit").over(panel.BY.rowsBetween(-251, -1))
+    rate = F.avg("hit").over(panel.by().rowsBetween(-251, -1))
     return rnd(p.withColumn("hit", hit).select("t", "ticker", rate.alias("rate")).where("t % 21 = 8"))
 
 
@@ -316,7 +316,7 @@ ag as (select t0, any_value(rr) rr, avg(ret) mean, quantile_cont(ret, 0.05) p5,
 )
 def mc_calibration(spark, sf_dir):
     p = universe(spark, sf_dir)
-    nxt = F.lead("cf", 21).over(panel.BY)
+    nxt = F.lead("cf", 21).over(panel.by())
     moves = p.select("t", "ticker", F.when((nxt > 0) & (F.col("cf") > 0), nxt / F.col("cf") - 1).otherwise(0.0).alias("x"))
     target = ranking(spark, sf_dir, "momentum").where((F.col("rank") < K) & (F.col("t") % 210 == 50)).select("t", "ticker")
     real = moves.join(target, ["t", "ticker"]).groupBy(F.col("t").alias("t0")).agg((F.sum("x") / K).alias("real"))
