@@ -68,6 +68,7 @@ class Model:
         self.split: dict[str, tuple[str, str] | None] = {}
         self.agreed: dict[tuple[str, str], bool] = {}
         self.solved: dict[str, tuple[int, ...]] = {}
+        self.prefixes: dict[str, int] = {}
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
         """The two parts that merging joins last to get ``piece``; None if merging gives no such piece."""
@@ -159,26 +160,51 @@ class Model:
         """Pieces that hold the character before ``border``: the states there."""
         return [(i, j) for j in range(border, min(len(text), border + self.longest - 1) + 1) for i in self._ending(text, j, 0) if i < border]
 
+    def _words_within(self, text: str, left: int, right: int) -> tuple[int, int] | None:
+        """First and last place from ``left`` to before ``right`` where a word starts, so that nothing joins across it."""
+        if not self.words_apart or self.unigram:
+            return None
+        starts = [m.start() + 1 if m.start() or text[0] != BLANK else 0 for m in _START.finditer(text, max(0, left - 1), right)]
+        starts = [p for p in starts if left <= p < right]
+        return (starts[0], starts[-1]) if starts else None
+
     def transfer(self, text: str, left: int, right: int) -> dict[State | None, dict[State, float]]:
-        """The matrix of the chunk between two borders: weights by state at the left one (None: the start of the text)."""
+        """The matrix of the chunk between two borders: weights by state at the left one (None: the start of the text).
+
+        Where words start within the chunk, what comes after the first of them is the same for every state, and what
+        the states on the right follow from is the last word alone; the words between need no look at all.
+        """
         out: dict[State | None, dict[State, float]] = {}
         ends = self.crossing(text, right) if right < len(text) else [(i, right) for i in self._ending(text, right, 0)]
-        for first in [None] if left == 0 else self.crossing(text, left):
-            if first is not None and first[1] >= right:  # a piece longer than the chunk
-                out[first] = {first: 0.0}
-                continue
-            best = self.forward(text, first, right)
-            row = {}
+        firsts = [None] if left == 0 else self.crossing(text, left)
+
+        def row(first: State | None, begin: int) -> dict[State, float]:
+            best, own = self.forward(text, first, right), {}
             for i, j in ends:
-                if (old := best.get(i)) is not None and (first is None or i >= first[1]):
+                if (old := best.get(i)) is not None and i >= begin:
                     w = self.weight(text[old[1] : i] if old[1] != _NONE else "", text[i:j])
                     if w is not None:
-                        row[i, j] = old[0] + w
-            out[first] = row
+                        own[i, j] = old[0] + w
+            return own
+
+        if within := self._words_within(text, left, right):
+            head, tail = within
+            shared = row((tail, tail), tail)
+            for first in firsts:
+                reaches = first is None and head == 0 or first is not None and first[1] <= head and head in self.forward(text, first, head)
+                if first is None and head > 0:
+                    reaches = head in self.forward(text, None, head)
+                out[first] = shared if reaches else {}
+            return out
+        for first in firsts:
+            if first is not None and first[1] >= right:  # a piece longer than the chunk
+                out[first] = {first: 0.0}
+            else:
+                out[first] = row(first, 0 if first is None else first[1])
         return out
 
     def trace(self, text: str, first: State | None, last: State) -> list[str]:
-        """The chunk's pieces after ``first`` up to and with ``last``."""
+        """The pieces after ``first`` up to and with ``last``."""
         if first == last:
             return []
         best = self.forward(text, first, last[0])
@@ -190,6 +216,19 @@ class Model:
             i = start
         return pieces[::-1]
 
+    def trace_ids(self, text: str, first: State | None, last: State) -> list[int]:
+        """Ids of the chunk's pieces after ``first`` up to and with ``last``; whole words within are looked up."""
+        begin = 0 if first is None else first[1]
+        within = self._words_within(text, begin, last[0] + 1) if last[0] >= begin else None
+        if within is None:
+            return self.ids(self.trace(text, first, last))
+        head, tail = within
+        out = []
+        if head > begin:
+            state = (self.forward(text, first, head)[head][1], head)
+            out = self.ids(self.trace(text, first, state))
+        return out + self.encode_normal(text[head:tail]) + self.ids(self.trace(text, (tail, tail), last))
+
     def ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
@@ -217,9 +256,15 @@ class Model:
 
     def _word_by_pairs(self, text: str) -> tuple[int, ...] | None:
         """``forward`` and ``trace`` of a whole word in a byte-pair model; None if a character has no piece."""
-        piece, agreed, tails = self.piece, self.agreed, self.tails
+        piece, agreed, tails, prefixes = self.piece, self.agreed, self.tails, self.prefixes
+        if len(prefixes) > 2 * KEPT_WORDS:
+            prefixes.clear()
         start: list[int | None] = [0]
         for j in range(1, len(text) + 1):
+            prefix = text[:j]
+            if (i := prefixes.get(prefix)) is not None:  # what a place follows from doesn't depend on what comes after
+                start.append(i)
+                continue
             node, i, starts = tails, j, []
             while i and (node := node.get(text[i - 1])) is not None:
                 i -= 1
@@ -230,7 +275,7 @@ class Model:
                 pair = text[start[i] : i], text[i:j]
                 ok = agreed.get(pair)
                 if ok or (ok is None and self.agree(*pair)):
-                    found = i
+                    found = prefixes[prefix] = i
                     break
             start.append(found)
         out, j = [], len(text)
@@ -259,7 +304,7 @@ class Model:
         """Ids of a text by chunks: matrices, their scan, and each chunk's trace."""
         borders = [*range(0, len(text), chunk), len(text)]
         states = scan([self.transfer(text, a, b) for a, b in zip(borders, borders[1:])])
-        return self.ids([p for a, b in zip([None, *states], states) for p in self.trace(text, a, b)])
+        return [i for a, b in zip([None, *states], states) for i in self.trace_ids(text, a, b)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes are joined, blanks restored, and the blank that encoding puts first taken away."""
@@ -282,6 +327,7 @@ class Model:
         return "".join(out).removeprefix(" ")
 
 
+_START = re.compile(f"(?:^|[^{BLANK}])(?={BLANK})")
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _MODELS: dict[tuple[str, bool | None], Model] = {}
 
@@ -417,7 +463,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
             ids = []
             for before, text, i, j, x, y in zip(*(c.to_pylist() for c in b.columns[3:])):
                 first = None if i == _NONE else (i - before, j - before)
-                ids.append(m.ids(m.trace(text, first, (x - before, y - before))))
+                ids.append(m.trace_ids(text, first, (x - before, y - before)))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "own", "k", "ids"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
