@@ -193,3 +193,51 @@ def test_lists_venues_and_stores(spark, tmp_path):
     (tmp_path / "s" / "A.json").write_text('{"2020-01-02":{"c":2.0},"bad":{"c":1},"2020-01-03":{"o":1,"h":2,"l":1,"c":0,"v":1}}')
     got = source.read_store(spark, str(tmp_path / "s")).collect()
     assert [(r.ticker, r.o, r.c, r.v) for r in got] == [("A", 2.0, 2.0, 0.0)]
+
+
+def test_inferred_split_and_plain_series(spark):
+    from barloom.operators import ingest
+
+    rows = [(day(t), "A", *[(100.0 if t < 30 else 50.0) + t % 3] * 4, 1000.0 if t < 30 else 2500.0) for t in range(60)]
+    rows += [(day(t), "B", *[(100.0 if t < 30 else 50.0) + t % 3] * 4, 1000.0) for t in range(60)]
+    got = {(r.ticker, r.d): r for r in ingest.infer_splits(spark.createDataFrame(rows, BARS)).collect()}
+    assert got["A", day(0)].c == pytest.approx(50.0) and got["A", day(0)].v == pytest.approx(2000.0) and got["A", day(59)].v == 2500.0
+    assert got["B", day(0)].c == 100.0 and len(got) == 120
+
+
+def test_outlook_case(spark):
+    from barloom.operators import ingest
+
+    orders = spark.createDataFrame([(0.006, 3.0), (0.002, 2.0)], "expected double, hold double")
+    trades = spark.createDataFrame([("2026-01-02", 0.01, 0.004, True), ("2026-01-03", 0.01, 0.001, True), ("2026-01-04", 0.01, 0.9, False)], "d string, expected double, ret double, filled boolean")
+    r = ingest.outlook(orders, trades, 2).first()
+    w = 0.5**0.1
+    assert r.expected == pytest.approx(0.0015) and r.delivered == pytest.approx((w * 0.004 + 0.001) / (w * 0.01 + 0.01)) and r.outlook == pytest.approx(r.expected * r.delivered)
+
+
+def test_scalars(spark):
+    from barloom.functions import scalars
+
+    texts = ["", "abc", "é" * 20, "日本語テキスト", "😀😀😀", "a😀b", "abcdefghijkl"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for n in (1, 3, 4, 7, 12):
+        want = [t.encode()[:n].decode("utf-8", "ignore") for t in texts]
+        assert [r[0] or "" for r in df.select(scalars.first_bytes(F.col("x"), n)).collect()] == want
+    one = spark.range(1)
+    get = lambda c: one.select(c).first()[0]
+    assert get(scalars.exchange_of(F.lit("LON:VOD"))) == "LON" and get(scalars.exchange_of(F.lit("VOD"))) is None and get(scalars.code_of(F.lit("LON:VOD"))) == "VOD"
+    assert get(scalars.safe_name(F.lit("a/b:c.d-e é"))) == "a_b_c.d-e__"
+    assert [int(x) for x in scalars.mix64([0, 1])] == [0xE220A8397B1DCDAF, 0x910A2DEC89025CC1]
+
+
+def test_selection_and_updates(spark):
+    from barloom.operators import ingest
+
+    book = spark.createDataFrame([("B", 1), ("A", 0)], "ticker string, rank int")
+    candidates = spark.createDataFrame([("A", 0), ("C", 1), ("D", 2)], "ticker string, rank int")
+    assert [r.ticker for r in ingest.selected(book, candidates, 3).collect()] == ["A", "B", "C"]
+    flow = spark.createDataFrame([("A", 90), ("Z", 80), ("Y", 1)], "ticker string, last_held int")
+    assert {r.ticker: r.keep for r in ingest.updates(book, flow, 100, 50).collect()} == {"A": True, "B": True, "Z": False}
+    bars = spark.createDataFrame([(day(0), "FRA:RHM", 1.0), (day(0), "AMS:RHM", 2.0), (day(0), "AMS:ASM", 3.0)], "d date, ticker string, c double")
+    pick = lambda x: [r.c for r in ingest.by_ticker_or_code(bars, x).collect()]
+    assert pick("FRA:RHM") == [1.0] and pick("RHM") == [2.0] and pick("LON:ASM") == [3.0] and pick("NO") == []
