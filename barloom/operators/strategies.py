@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.panel import back, change
+from barloom.operators.panel import back, by, change, past
 
 COMMON = {"rebalance": 21, "warmup": 260, "capsd": 1.5, "capmax": 0.03, "maxdays": 260}
 REGISTRY: dict[str, tuple[Callable[[Mapping[str, float]], Column], dict[str, float], str]] = {}
@@ -53,12 +53,22 @@ def lowvol(p):
     return F.when((F.count("ret").over(back(n)) >= -(-n * 8 // 10)) & (sd > 1e-12), -sd)
 
 
+def trailing(value: Column, n: int, skip: int = 0) -> Column:
+    """Sum of ``value`` over the n sessions that end ``skip`` sessions ago: a difference of running sums.
+
+    A sliding frame would add up its n rows anew for every row; running sums are made once. Sums of returns stay small,
+    so the difference loses nothing that shows.
+    """
+    total = F.sum(F.coalesce(value, F.lit(0.0))).over(past())
+    at = lambda k: F.coalesce(F.lag(total, k).over(by()), F.lit(0.0)) if k else total
+    return at(skip) - at(skip + n)
+
+
 def _sums(n: int, skip: int = 0) -> dict[str, Column]:
     """Sums over the sessions with a return: n, x (market), y (return), xx, xy, yy."""
-    w = back(n, skip)
-    both = lambda e: F.sum(F.when(F.col("ret").isNotNull(), e)).over(w)
+    both = lambda e: F.when(F.col("ret").isNotNull(), e)
     x, y = F.col("mkt"), F.col("ret")
-    return {"n": F.count("ret").over(w).cast("double"), "x": both(x), "y": both(y), "xx": both(x * x), "xy": both(x * y), "yy": both(y * y)}
+    return {k: trailing(both(v), n, skip) for k, v in {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}.items()}
 
 
 @strategy("reversal", "a week's fall beyond the market's", rebalance=5, window=5, beta=252)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, indicators, models, panel, reports
+from barloom.operators import backtest, models, montecarlo, neural, panel, reports
 from barloom.plans import sql
 from barloom.plans.evaluation_queries import daily_by_k, order_list_net
 from barloom.plans.panel_queries import bars, ranking, register, rnd, universe
@@ -195,3 +195,40 @@ def allocate_markets(spark, sf_dir):
 def regimes(spark, sf_dir):
     market = panel.market_return(universe(spark, sf_dir)).where("t >= 300")
     return models.regimes(market, market.where("t % 210 = 50 and t > 700").select(F.col("t").alias("t0")))
+
+
+@register("nn_samples")
+def nn_samples(spark, sf_dir):
+    return neural.samples(panel.with_market(universe(spark, sf_dir)))
+
+
+@register("nn_walk_forward")
+def nn_walk_forward(spark, sf_dir):
+    return rnd(neural.walk_forward(neural.samples(panel.with_market(universe(spark, sf_dir)))))
+
+
+def _candidates(spark, sf_dir):
+    top = ranking(spark, sf_dir, "momentum").where((F.col("rank") < 6) & (F.col("t") % 420 == 50))
+    return top.select(F.col("t").alias("t0"), "ticker")
+
+
+@register("mc_stops")
+def mc_stops(spark, sf_dir):
+    """Each candidate over drawn sessions with a volatility stop."""
+    p = panel.with_market(universe(spark, sf_dir))
+    return rnd(montecarlo.simulate(p, _candidates(spark, sf_dir), backtest.Settings(psarvol=3.0), paths=50))
+
+
+@register("mc_choose")
+def mc_choose(spark, sf_dir):
+    return montecarlo.chosen(mc_stops(spark, sf_dir), 3, by_growth=True)
+
+
+@register("mc_settings")
+def mc_settings(spark, sf_dir):
+    """The stop multiple with the best simulated mean, by ticker, and what most of a reset's tickers chose."""
+    p = panel.with_market(universe(spark, sf_dir))
+    c = _candidates(spark, sf_dir)
+    runs = [montecarlo.simulate(p, c, backtest.Settings(psarvol=float(m)), paths=20).withColumn("setting", F.lit(m)) for m in (2, 3, 6)]
+    best = montecarlo.best_settings(runs[0].unionByName(runs[1]).unionByName(runs[2]))
+    return best.join(F.broadcast(montecarlo.voted(best).withColumnRenamed("setting", "voted")), "t0")
