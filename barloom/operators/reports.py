@@ -76,3 +76,29 @@ def fill_counts(rows: DataFrame, *columns: str) -> DataFrame:
 def append_once(track: DataFrame, new: DataFrame) -> DataFrame:
     """``track`` with the days of ``new`` that it hasn't got."""
     return track.unionByName(new.join(track.select("d"), "d", "left_anti"))
+
+
+def order_results(orders: DataFrame) -> DataFrame:
+    """(daily, annual, orders, fill): of orders (day, ret, filled) the mean day, that compounded over a year, orders a day, share filled."""
+    one = F.when(F.col("filled"), F.col("ret")).otherwise(0.0)
+    days = orders.groupBy("day").agg(F.avg(one).alias("m"), F.count("*").alias("n"), F.count_if("filled").alias("f"))
+    return days.agg(F.avg("m").alias("daily"), (F.pow(1 + F.avg("m"), F.lit(252.0)) - 1).alias("annual"), F.avg("n").alias("orders"), (F.sum("f") / F.sum("n")).alias("fill"))
+
+
+def totals(positions: DataFrame) -> DataFrame:
+    """(currency, total, bought, held, waiting): profit of what was bought or is held, and how many are in each state."""
+    own = F.col("state").isin("bought", "held")
+    n = lambda s: F.count_if(F.col("state") == s).alias(s)
+    return positions.groupBy("currency").agg(F.sum(F.when(own, F.coalesce("pnl", F.lit(0.0)) + F.coalesce("open", F.lit(0.0))).otherwise(0.0)).alias("total"), n("bought"), n("held"), n("waiting"))
+
+
+def expected_buys(orders: DataFrame) -> DataFrame:
+    """(buys, hold): the sum of the orders' chances to fill, and their mean holding time."""
+    return orders.agg(F.sum(F.coalesce("fill", F.lit(0.0))).alias("buys"), F.avg("hold").alias("hold"))
+
+
+def stop_levels(positions: DataFrame, settings_stop: float = 0.0, vol: float = 0.0) -> DataFrame:
+    """``positions`` (ticker, close, sigma, level) with the stop of the next session: a held one's own level, else from the close."""
+    band = F.least(F.lit(0.5), F.greatest(F.lit(0.02), vol * F.coalesce("sigma", F.lit(0.02))))
+    fresh = F.col("close") * (1 - band) if vol else F.when(F.lit(settings_stop) > 0, F.col("close") * (1 - settings_stop))
+    return positions.withColumn("stop", F.coalesce("level", fresh))

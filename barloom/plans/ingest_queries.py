@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import scalars
-from barloom.operators import clean, ingest
+from barloom.operators import clean, ingest, reports
 from barloom.plans import sql
 from barloom.plans.evaluation_queries import _BT, _TRADES, backtest, closed_trades
 from barloom.plans.panel_queries import bars, ranking, register, rnd
@@ -204,3 +204,36 @@ def momentum_reasons(spark, sf_dir):
     top = ranking(spark, sf_dir, "momentum").where("rank < 3")
     return top.select("t", "ticker", F.format_string("rose %.1f%% in the year before the last month", 100 * F.round("score", 6)).alias("reason"))
 
+
+
+@register("order_results", sql.query(_BT + _TRADES, ", od as (select opened, avg(case when ticker <> 'Brand#11' then ret else 0 end) m, count(*) n, count(*) filter (where ticker <> 'Brand#11') f from trd group by opened) select round(avg(m), 8) + 0.0 daily, round(power(1 + avg(m), 252) - 1, 6) + 0.0 annual, round(avg(n), 8) orders, round(sum(f) / sum(n), 8) fill from od"))
+def order_results(spark, sf_dir):
+    t = closed_trades(spark, sf_dir).select(F.col("opened").alias("day"), "ret", (F.col("ticker") != "Brand#11").alias("filled"))
+    out = reports.order_results(t)
+    return rnd(out.withColumn("annual", F.round("annual", 6)))
+
+
+@register(
+    "totals_by_currency",
+    """select n_regionkey currency, round(sum(case when o_orderstatus in ('F', 'O') then o_totalprice / 1000 else 0 end), 4) total, count(*) filter (where o_orderstatus = 'F') bought, count(*) filter (where o_orderstatus = 'O') held, count(*) filter (where o_orderstatus = 'P') waiting
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1""",
+)
+def totals_by_currency(spark, sf_dir):
+    t = lambda n: source.table(spark, sf_dir, n)
+    state = F.when(F.col("o_orderstatus") == "F", "bought").when(F.col("o_orderstatus") == "O", "held").otherwise("waiting")
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = o.select(F.col("n_regionkey").alias("currency"), state.alias("state"), (F.col("o_totalprice") / 1000).alias("pnl"), F.lit(None).cast("double").alias("open"))
+    return rnd(reports.totals(rows), 4)
+
+
+@register("expected_buys", sql.query(sql.scored("momentum"), "select round(sum(1.0 / (1 + rank)), 8) buys, round(avg(rank * 2.0), 8) hold from ranked where rank < 5"))
+def expected_buys(spark, sf_dir):
+    top = ranking(spark, sf_dir, "momentum").where("rank < 5")
+    return rnd(reports.expected_buys(top.select((1.0 / (1 + F.col("rank"))).alias("fill"), (F.col("rank") * 2.0).alias("hold"))))
+
+
+@register("next_stop_levels", sql.query(sql.scored("momentum"), "select r.t, r.ticker, round(cf * (1 - least(0.5, greatest(0.02, 3 * coalesce(sigma, 0.02)))), 6) stop from ranked r join pan p using (t, ticker) where r.rank < 5"))
+def next_stop_levels(spark, sf_dir):
+    top = ranking(spark, sf_dir, "momentum").where("rank < 5")
+    rows = top.select("t", "ticker", F.col("cf").alias("close"), "sigma", F.lit(None).cast("double").alias("level"))
+    return rnd(reports.stop_levels(rows, vol=3.0).select("t", "ticker", "stop"), 6)
