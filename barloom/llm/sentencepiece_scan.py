@@ -12,9 +12,9 @@ starts a word and no piece joins it to what is before, the border has one state,
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,7 @@ CHUNK, KEPT_WORDS = 32_768, 400_000
 BLANK = "▁"
 State = tuple[int, int]  # a piece by its start and end
 _NONE = -1
+_START_ID = (1 << 20) - 1
 
 
 class Model:
@@ -42,12 +43,16 @@ class Model:
             raw = f.read()
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.unigram = _model_type(raw) == 1 if unigram is None else unigram
+        self.as_is = _as_is(raw)
         ids = range(sp.get_piece_size())
         plain = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.piece = {sp.id_to_piece(i): i for i in plain}
         self.score = {p: sp.get_score(i) for p, i in self.piece.items()}
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(i != sp.unk_id() for i in self.byte)
+        # characters of layout that no piece has stand alone, so lines can be solved apart as well
+        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.piece))
+        self.parts = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + (f"|[{alone}]" if alone else ""))
         self.plain = {i: p.replace(BLANK, " ") for p, i in self.piece.items()} | {self.byte[b]: chr(b) for b in range(128) if self.has_bytes}
         self.longest = max(map(len, self.piece))
         self.lowest = min(self.score.values(), default=0.0) - 10.0
@@ -57,18 +62,20 @@ class Model:
         for p in self.piece:
             self.by_last.setdefault(p[-1], []).append(len(p))
         self.by_last = {c: sorted(set(n), reverse=True) for c, n in self.by_last.items()}
-        self.tails: dict = {}  # the pieces as a tree of their characters from the last one on; "" marks a whole piece
-        for p in self.piece:
-            node = self.tails
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = {}
+        self.heads: dict = {}  # the pieces as a tree: character -> [what may follow, id of the piece so far]
+        for p, i in self.piece.items():
+            node = self.heads
+            for c in p:
+                step = node.setdefault(c, [{}, None])
+                node = step[0]
+            step[1] = i
         order = sorted(self.score, key=lambda p: -self.score[p])
         self.rank = {p: i for i, p in enumerate(order) if len(p) > 1}
         self.split: dict[str, tuple[str, str] | None] = {}
         self.agreed: dict[tuple[str, str], bool] = {}
-        self.solved: dict[str, tuple[int, ...]] = {}
-        self.prefixes: dict[str, int] = {}
+        self.agreed_ids: dict[int, bool] = {}
+        self.solved: dict[str, bytes] = {}  # ids of words as little-endian 32-bit numbers
+        self.older: dict[str, bytes] = {}
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
         """The two parts that merging joins last to get ``piece``; None if merging gives no such piece."""
@@ -240,65 +247,79 @@ class Model:
                 out.append(self.sp.unk_id())
         return out
 
-    def word(self, text: str) -> tuple[int, ...]:
+    def forget(self) -> None:
+        """Drops what was remembered of words, so that an idle process holds the model only."""
+        self.agreed.clear()
+        self.agreed_ids.clear()
+        self.solved, self.older = {}, {}
+
+    def word(self, text: str) -> bytes:
         found = self.solved.get(text)
+        if found is None and (found := self.older.get(text)) is not None:
+            self.solved[text] = found
         if found is None:
-            if len(self.solved) >= KEPT_WORDS:
-                self.solved.clear()
-            found = self._word_by_pairs(text) if not self.unigram else None
-            if found is None:
+            if len(self.solved) >= KEPT_WORDS:  # words that come again move over from the older half
+                self.older, self.solved = self.solved, {}
+            ids = self._word_by_pairs(text) if not self.unigram and len(text) > 1 else None
+            if ids is None:
                 (row,) = self.transfer(text, 0, len(text)).values()
                 last = max(row, key=lambda s: (row[s], -s[0]))
-                found = tuple(self.ids(self.trace(text, None, last)))
+                ids = self.ids(self.trace(text, None, last))
+            found = _packed(ids)
             if len(text) <= 64:
                 self.solved[text] = found
         return found
 
     def _word_by_pairs(self, text: str) -> tuple[int, ...] | None:
         """``forward`` and ``trace`` of a whole word in a byte-pair model; None if a character has no piece."""
-        piece, agreed, tails, prefixes = self.piece, self.agreed, self.tails, self.prefixes
-        if len(prefixes) > 2 * KEPT_WORDS:
-            prefixes.clear()
-        start: list[int | None] = [0]
-        for j in range(1, len(text) + 1):
-            prefix = text[:j]
-            if (i := prefixes.get(prefix)) is not None:  # what a place follows from doesn't depend on what comes after
-                start.append(i)
+        agreed, heads, n = self.agreed_ids, self.heads, len(text)
+        start, last = [0] * (n + 1), [_NONE] * (n + 1)  # where the piece that ends at a place starts, and which it is
+        last[0] = _START_ID
+        for i in range(n):
+            before = last[i]
+            if before == _NONE:
                 continue
-            node, i, starts = tails, j, []
-            while i and (node := node.get(text[i - 1])) is not None:
-                i -= 1
-                if "" in node and start[i] is not None:
-                    starts.append(i)
-            found = None
-            for i in reversed(starts):
-                pair = text[start[i] : i], text[i:j]
-                ok = agreed.get(pair)
-                if ok or (ok is None and self.agree(*pair)):
-                    found = prefixes[prefix] = i
+            node, j = heads, i
+            for c in text[i:]:
+                step = node.get(c)
+                if step is None:
                     break
-            start.append(found)
-        out, j = [], len(text)
+                node, own = step
+                j += 1
+                if own is not None and last[j] == _NONE:
+                    ok = agreed.get(before << 20 | own)
+                    if ok is None:
+                        if len(agreed) > KEPT_WORDS:
+                            agreed.clear()
+                        a, b = text[start[i] : i], text[i:j]
+                        ok = agreed[before << 20 | own] = self._agree(a, b) if a else len(b) == 1 or self._last_merge(b) is not None
+                    if ok:
+                        last[j], start[j] = own, i
+        out, j = [], n
         while j:
-            i = start[j]
-            if i is None:
+            if last[j] == _NONE:
                 return None
-            out.append(piece[text[i:j]])
-            j = i
+            out.append(last[j])
+            j = start[j]
         return tuple(out[::-1])
 
     def normal(self, text: str) -> str:
+        if self.as_is and text:
+            return BLANK + text.replace(" ", BLANK)
         return self.sp.normalize(text) if text else ""
 
-    def encode_normal(self, text: str) -> list[int]:
+    def packed_normal(self, text: str) -> bytes:
         """Ids of a whole normalized text, which is solved word by word, and long words chunk by chunk."""
         if not text:
-            return []
-        words = _WORD.findall(text) if self.words_apart else [text]
+            return b""
+        words = self.parts.findall(text) if self.words_apart else [text]
         found = list(map(self.solved.get, words))
         if None in found:
-            found = [f if f is not None else self.word(w) if len(w) <= CHUNK else self.scanned(w) for w, f in zip(words, found)]
-        return list(chain.from_iterable(found))
+            found = [f if f is not None else self.word(w) if len(w) <= CHUNK else _packed(self.scanned(w)) for w, f in zip(words, found)]
+        return b"".join(found)
+
+    def encode_normal(self, text: str) -> list[int]:
+        return _ids(self.packed_normal(text))
 
     def scanned(self, text: str, chunk: int = CHUNK) -> list[int]:
         """Ids of a text by chunks: matrices, their scan, and each chunk's trace."""
@@ -328,39 +349,48 @@ class Model:
 
 
 _START = re.compile(f"(?:^|[^{BLANK}])(?={BLANK})")
-_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _MODELS: dict[tuple[str, bool | None], Model] = {}
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Fields of a protocol buffer message: (number, value)."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+        else:
+            size = number() if kind == 2 else 8 if kind == 1 else 4
+            at += size
+            yield tag >> 3, data[at - size : at]
+
+
+def _part(raw: bytes, number: int) -> dict[int, int | bytes]:
+    return dict(_fields(next((v for k, v in _fields(raw) if k == number), b"")))
+
+
 def _model_type(raw: bytes) -> int:
-    """model_type of the trainer part of a model file (1 unigram, 2 byte pairs), read from its wire format."""
-
-    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
-        at = 0
-
-        def number() -> int:
-            nonlocal at
-            value = shift = 0
-            while True:
-                b = data[at]
-                at += 1
-                value |= (b & 127) << shift
-                shift += 7
-                if b < 128:
-                    return value
-
-        while at < len(data):
-            tag = number()
-            kind = tag & 7
-            if kind == 0:
-                yield tag >> 3, number()
-            else:
-                size = number() if kind == 2 else 8 if kind == 1 else 4
-                at += size
-                yield tag >> 3, data[at - size : at]
+    """model_type of the trainer's part of a model file: 1 unigram, 2 byte pairs."""
+    return _part(raw, 2).get(3, 1)
+
 
-    trainer = next((v for k, v in fields(raw) if k == 2), b"")
-    return next((v for k, v in fields(trainer) if k == 3), 1)
+def _as_is(raw: bytes) -> bool:
+    """Whether the normalizer's part asks for nothing but a blank in front, and blanks to be written as such."""
+    n = _part(raw, 3)
+    return not n.get(2) and n.get(3, 1) == 1 and n.get(4, 1) == 0 and n.get(5, 1) == 1
 
 
 def model(name: str = MODEL, unigram: bool | None = None) -> Model:
@@ -399,8 +429,12 @@ def scan(matrices: list[dict]) -> list[State]:
     return states[::-1]
 
 
-def _crc(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
+def _packed(ids: Sequence[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _ids(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, "<u4").tolist()
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_name: str = MODEL, chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
@@ -415,10 +449,13 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
         for b in batches:
-            ids = [m.encode_normal(m.normal(t.as_py() or "")) for t in b.column(1)]
-            same = [m.decode(i) == (t.as_py() or "") for i, t in zip(ids, b.column(1))]
-            cols = [b.column(0), pa.array(map(len, ids), pa.int64()), pa.array(map(_crc, ids), pa.int64()), pa.array(same), pa.array(ids if with_ids else [None] * len(ids), pa.list_(pa.int32()))]
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            packed = [m.packed_normal(m.normal(t)) for t in texts]
+            ids = list(map(_ids, packed)) if with_ids else [None] * len(packed)
+            same = [m.decode(_ids(p)) == t for p, t in zip(packed, texts)]
+            cols = [b.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(map(zlib.crc32, packed), pa.int64()), pa.array(same), pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_crc32", "round_trip", "ids"])
+        m.forget()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
@@ -465,6 +502,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 first = None if i == _NONE else (i - before, j - before)
                 ids.append(m.trace_ids(text, first, (x - before, y - before)))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "own", "k", "ids"])
+        m.forget()
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
@@ -472,7 +510,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
             rows = []
             for d, t, parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 ids = [i for p in sorted(parts, key=lambda p: p["k"]) for i in p["ids"]]
-                rows.append((d, len(ids), _crc(ids), m.decode(ids) == t.as_py(), ids if with_ids else None))
+                rows.append((d, len(ids), zlib.crc32(_packed(ids)), m.decode(ids) == t.as_py(), ids if with_ids else None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
             names = ["doc_id", "n_tokens", "ids_crc32", "round_trip", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 5, kinds)], names)
