@@ -11,6 +11,7 @@ are collapsed first, and a cell returns a spanning forest of its links, not its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import columns, cut_lineage, small_batches
+from barloom.llm.common import columns, cut_lineage, release, small_batches
 from barloom.llm.graph import connected_components
 
 SEED = 42
@@ -165,54 +166,146 @@ def near_duplicates(
 
 # ------------------------------------------------------------------------------------------ copies with more edits
 
-#: 128 bits of 5-word shingles: texts of similarity 0.8 differ in 19 bits on average, of 0.7 in 25, unrelated ones in 64.
-WIDE_SHINGLE, WIDE_BITS = 5, 23
-#: Groups of segments that make grids, and segments of a group: a link of 19 bits meets in one of them with probability 0.95.
-TABLES, GROUP = 64, 10
+#: Texts whose sets of five-word shingles share at least 4/5 of their union are near copies.
+WIDE_SHINGLE, NUM, DEN = 5, 4, 5
+#: Bits of a set's parity map.
+MAP_BITS = 512
+#: Sets that order shingles from rare to common, and how many of them make one common; any order gives the same links.
+ORDER_SETS, COMMON = 4000, 8
 
+_SETS = "doc_id long, own long, n long, bits binary, text string"
 
-def wide_simhash(text: str | None, shingle: int = WIDE_SHINGLE) -> bytes:
-    """128 bits, as in ``simhash``, over XXH3 of the shingles; no word gives zeros."""
+
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH3 (64 bits) of the word shingles, words as in ``simhash``; no word gives none."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return bytes(16)
-    digest = xxhash.xxh3_128_digest
+        return np.empty(0, "<u8")
+    digest = xxhash.xxh3_64_intdigest
     parts = [b" ".join(w)] if len(w) < shingle else map(b" ".join, zip(*(w[i:] for i in range(shingle))))
-    h = np.frombuffer(b"".join([digest(p) for p in parts]), np.uint8).reshape(-1, 16)
-    ones = np.zeros(128, dtype=np.int64)
-    for i in range(0, len(h), 32768):
-        ones += np.unpackbits(h[i : i + 32768], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h)).tobytes()
+    return np.unique(np.array([digest(p) for p in parts], dtype="<u8"))
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of NUM / DEN at least; exact, in whole numbers."""
+    if DEN * min(len(x), len(y)) < NUM * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
-def _wide_groups() -> np.ndarray:
-    """TABLES groups of GROUP of the 64 segments, by a fixed rule: steps of an odd width from a start, so all take part alike."""
-    return np.array([[(7 * t + (2 * (t % 16) + 1) * (k + t // 16 * GROUP)) % 64 for k in range(GROUP)] for t in range(TABLES)])
+def _parity(x: np.ndarray) -> bytes:
+    """A bit for each residue, set where an odd number of members have it: two maps differ in no more bits than the sets in members."""
+    return np.packbits((np.bincount((x % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def _wide_cells(docs: DataFrame) -> DataFrame:
-    groups = _wide_groups()
+def _shingled(docs: DataFrame, shingle: int, whole: bool) -> DataFrame:
+    """(doc_id, own) of each document, own the hash of its set, and with ``whole`` the size, parity map and text.
+
+    The text takes less room than its hashes, so those are made again where they are needed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, 16)
-            counts = np.unpackbits(raw, axis=1).reshape(-1, 64, 2).sum(axis=2).astype(np.int64)
-            powers = 3 ** np.arange(GROUP)
-            keys = [(counts[:, g] * powers).sum(axis=1) + t * 3**GROUP for t, g in enumerate(groups)]
-            words = raw.view(">i8").astype(np.int64)
-            cols = [np.concatenate(keys), np.tile(words[:, 0], TABLES), np.tile(words[:, 1], TABLES)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "hi", "lo"])
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
+            cols = [b.column(0), pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))]
+            if whole:
+                cols += [pa.array([len(x) for x in sets], pa.int64()), pa.array([_parity(x) for x in sets], pa.binary()), b.column(1)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "own", "n", "bits", "text"][: len(cols)])
+
+    return docs.mapInArrow(run, _SETS if whole else "doc_id long, own long")
+
+
+def _common(sets: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles common in a part of the sets, sorted, and their counts there."""
+    every = max(1, sets.count() // ORDER_SETS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle).view(np.int64))], ["token"])
+
+    some = sets.where(F.pmod(F.xxhash64("own"), F.lit(every)) == 0).select("text").mapInArrow(run, "token long")
+    found = some.groupBy("token").count().where(F.col("count") >= COMMON).collect()
+    token, count = np.array([r[0] for r in found], np.int64).view(np.uint64), np.array([r[1] for r in found], np.int64)
+    at = np.argsort(token)
+    return token[at], count[at]
+
+
+def _prefixes(sets: DataFrame, shingle: int) -> DataFrame:
+    """(cell, own): the rarest shingles of each set, one more than a near copy can lack, so that near copies share one."""
+    token, count = _common(sets, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells, own = [], []
+            for o, t in zip(b.column(0).to_pylist(), b.column(1)):
+                x = shingle_set(t.as_py(), shingle)
+                if len(token):
+                    at = np.minimum(np.searchsorted(token, x), len(token) - 1)
+                    x = x[np.argsort(np.where(token[at] == x, count[at], 0), kind="stable")]
+                x = x[: len(x) - -(-NUM * len(x) // DEN) + 1]
+                cells.append(x.view(np.int64))
+                own.append(np.full(len(x), o, np.int64))
+            if cells:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(own))], ["cell", "own"])
+
+    return sets.where("n > 0").select("own", "text").mapInArrow(run, "cell long, own long")
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int]]]]:
+    """Rows sorted by their first column in batches that end where a cell ends, with the cells of two rows and more."""
+
+    def cut(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, list[tuple[int, int]]]:
+        cell = rows.column(0).to_numpy()
+        cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+        start, stop = np.r_[0, cuts], np.r_[cuts, len(cell)]
+        more = stop - start > 1
+        return rows, list(zip(start[more].tolist(), stop[more].tolist()))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.column(0)[-1]
+        whole = int(np.searchsorted(batch.column(0).to_numpy(), last.as_py()))
+        if whole or (held and held[-1].column(0)[-1] != last):
+            yield cut(pa.concat_batches([*held, batch.slice(0, whole)]))
+            held = []
+        held.append(batch.slice(whole))
+    if held:
+        yield cut(pa.concat_batches(held))
+
+
+def _groups(prefixes: DataFrame) -> DataFrame:
+    """(cell, members): the sets of each cell; cells of the same sets, as two near copies have many, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cells in _whole_cells(batches):
+            own = rows.column(1).to_numpy()
+            found = {xxhash.xxh3_64_intdigest(own[s:e].tobytes()): own[s:e] for s, e in cells}
+            keys = pa.array(np.array(list(found), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(list(found.values()), pa.list_(pa.int64()))], ["cell", "members"])
+
+    dealt = prefixes.repartition("cell").sortWithinPartitions("cell", "own")
+    return dealt.mapInArrow(run, "cell long, members array<long>").dropDuplicates(["cell"])
 
-    return docs.mapInArrow(run, "cell long, hi long, lo long")
 
+def _may_link(n: np.ndarray, bits: np.ndarray, at: int, others: np.ndarray, part: float = 1.0) -> np.ndarray:
+    """Which of ``others`` sizes and parity maps don't rule out: sets of similarity 4/5 differ in a ninth of their sizes at most."""
+    size, own = n[others], n[at]
+    apart = np.bitwise_count(bits[others] ^ bits[at]).sum(axis=1, dtype=np.int64)
+    return ((DEN + NUM) * apart <= part * (DEN - NUM) * (size + own)) & (DEN * np.minimum(size, own) >= NUM * np.maximum(size, own))
 
-def _wide_forest(hi: np.ndarray, lo: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    found, left = [], np.arange(len(hi))
+
+def _spanning(n: np.ndarray, bits: np.ndarray, part: float) -> list[tuple[int, int]]:
+    """Index pairs that join all that ``_may_link`` joins; at most one a set."""
+    found, left = [], np.arange(len(n))
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(hi[left] ^ hi[at]) + np.bitwise_count(lo[left] ^ lo[at]) <= max_bits
+            near = _may_link(n, bits, at, left, part)
             if near.any():
                 new = left[near].tolist()
                 found += [(at, x) for x in new]
@@ -221,57 +314,84 @@ def _wide_forest(hi: np.ndarray, lo: np.ndarray, max_bits: int) -> list[tuple[in
     return found
 
 
-def _wide_links(cells: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): links within the cells as spanning forests, by the hashes of the fingerprints."""
+def _between(n: np.ndarray, bits: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Index pairs of ``_may_link`` across different roots."""
+    names, which, count = np.unique(root, return_inverse=True, return_counts=True)
+    found = []
+    if len(names) > 1:
+        for at in np.flatnonzero(which != count.argmax()).tolist():
+            others = np.flatnonzero(which != which[at])
+            found += [(at, x) for x in others[_may_link(n, bits, at, others)].tolist()]
+    return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
 
-        def done(cell: np.ndarray, hi: np.ndarray, lo: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.diff(cell)) + 1
-            a, b = [], []
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)]):
-                if e - s > 1:
-                    for x, y in _wide_forest(hi[s:e].view(np.uint64), lo[s:e].view(np.uint64), max_bits):
-                        a.append(own[s + x])
-                        b.append(own[s + y])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _candidates(groups: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(a, b), a < b: within the cells, trees of what may link, or, given ``roots``, all that may link across them."""
+    first = roots is None
 
-        for batch in batches:
-            held = [np.r_[h, c.to_numpy()] for h, c in zip(held, batch.columns)]
-            if len(held[0]) and (whole := int(np.searchsorted(held[0], held[0][-1]))):
-                yield done(*(h[:whole] for h in held))
-                held = [h[whole:] for h in held]
-        if len(held[0]):
-            yield done(*held)
-
-    dealt = cells.select("cell", "hi", "lo", F.xxhash64("hi", "lo").alias("own")).repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cells in _whole_cells(batches):
+            own, n, root = (rows.column(c).to_numpy() for c in (1, 2, 4))
+            bits = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(len(own), -1)
+            pairs = set()
+            for s, e in cells:
+                some = (n[s:e], bits[s:e])
+                near = [p for part in (0.5, 0.8, 1.0) for p in _spanning(*some, part)] if first else _between(*some, root[s:e])
+                pairs.update((min(own[s + x], own[s + y]), max(own[s + x], own[s + y])) for x, y in near)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+    marks = sets.select("own", "n", "bits")
+    marks = marks.withColumn("root", F.col("own")) if first else marks.join(roots, marks.own == roots.node, "left").select("own", "n", "bits", F.coalesce("root", "own").alias("root"))
+    cells = groups.select("cell", F.explode("members").alias("own")).join(marks, "own").select("cell", "own", "n", "bits", "root")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, max_bits: int = WIDE_BITS) -> DataFrame:
-    """(doc_id, component_id), a row a row of ``docs``: groups of texts of similarity 0.8 or so and more.
 
-    The same segment counts as above, over 128 bits: here each of TABLES groups of segments makes a grid, texts that
-    share a cell are verified by their exact distance, at most ``max_bits``. Unlike the links of three bits, a link may
-    be missed, the likelier the farther it is; equal texts never are. Null and empty texts are one group; null ids are
-    treated as in ``near_duplicates``.
-    """
-    small_batches(docs.sparkSession)
+def _verified(pairs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
+    """Those of ``pairs`` whose sets are ``alike``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = lru_cache(maxsize=64)(lambda t: shingle_set(t, shingle))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_simhash(t.as_py(), shingle) for t in b.column(1)], pa.binary())], ["doc_id", "fp"])
+            keep = [alike(held(x.as_py()), held(y.as_py())) for x, y in zip(b.column(2), b.column(3))]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    named = pairs.select(F.explode(F.array("a", "b")).alias("own")).distinct()
+    some = cut_lineage(sets.select("own", "text").join(named, "own", "left_semi"))
+    side = lambda k: some.select(F.col("own").alias(k), F.col("text").alias(f"of_{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def _copies(sets: DataFrame, shingle: int) -> DataFrame:
+    """(node, root): components of all pairs of distinct sets that are ``alike``.
+
+    First trees of what may link are verified, which joins large groups by few pairs; then every other pair that may
+    link across the components so found, so that a tree's link that fails hides none.
+    """
+    groups = cut_lineage(_groups(_prefixes(sets, shingle)))
+    tried = cut_lineage(_candidates(groups, sets, None))
+    edges = cut_lineage(_verified(tried, sets, shingle))
+    roots = cut_lineage(connected_components(edges))
+    rest = cut_lineage(_candidates(groups, sets, roots).join(tried, ["a", "b"], "left_anti"))
+    more = cut_lineage(_verified(rest, sets, shingle))
+    return roots if more.isEmpty() else connected_components(edges.union(more))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """(doc_id, component_id), a row a row of ``docs``: groups joined by texts whose shingle sets have similarity 0.8 and more.
+
+    Every link is verified on the sets and none is missed: each set is posted under its rarest shingles, of which near
+    copies share one; sizes and parity maps rule pairs out only where the similarity can't be 0.8. Texts of equal sets
+    are collapsed first. Null and empty texts are one group; null ids are treated as in ``near_duplicates``.
+    """
+    small_batches(docs.sparkSession)
     own = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    fp = cut_lineage(own.mapInArrow(run, "doc_id long, fp binary"))
-    first = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    word = lambda at: F.conv(F.hex(F.substring("fp", at, 8)), 16, -10).cast("long")
-    first = first.withColumn("own", F.xxhash64(word(1), word(9)))
-    roots = connected_components(_wide_links(_wide_cells(first.select("fp")), max_bits))
-    named = first.join(roots, first.own == roots.node, "left").select("fp", "first", F.coalesce("root", "own").alias("root"))
+    sets = cut_lineage(_shingled(own, shingle, True).groupBy("own").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("n", "bits", "text"))))
+    release(docs.sparkSession)
+    roots = _copies(sets, shingle)
+    named = sets.join(roots, sets.own == roots.node, "left").select("own", "first", F.coalesce("root", "own").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fp.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    label = named.join(least, "root").select("own", "component_id")
+    return _shingled(own, shingle, False).join(label, "own").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None) -> DataFrame:

@@ -86,3 +86,20 @@ def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def jaccard(x, y):
+    x, y = ({" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_texts_below_the_similarity_stay(spark):
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(60):
+        shared = prose(160)
+        rows += [(2 * k + j, " ".join(shared + prose(30 + k % 3 * 8))) for j in range(2)]
+    assert all(0.6 < jaccard(rows[2 * k][1], rows[2 * k + 1][1]) < 0.8 for k in range(60))
+    got = {r.doc_id: r.component_id for r in S.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d for d, _ in rows}
