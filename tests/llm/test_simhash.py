@@ -103,3 +103,34 @@ def test_texts_below_the_similarity_stay(spark):
     assert all(0.6 < jaccard(rows[2 * k][1], rows[2 * k + 1][1]) < 0.8 for k in range(60))
     got = {r.doc_id: r.component_id for r in S.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d for d, _ in rows}
+
+
+def test_copies_at_the_similarity_match_brute_force(spark):
+    rng = random.Random(6)
+    prose = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    common, rows = prose(40), []
+    for k in range(120):
+        base = prose(200) + (common if k % 3 == 0 else [])
+        rows.append((10 * k, " ".join(base)))
+        for j in range(1, 3):  # about 0.75 to 0.9
+            own = list(base)
+            for at in rng.sample(range(len(own)), 2 + k % 4):
+                own[at] = f"e{rng.randint(0, 10**6)}"
+            rows.append((10 * k + j, " ".join(own)))
+    sim = {(a, b): jaccard(x, y) for a, x in rows for b, y in rows if a < b and a // 10 == b // 10}
+    assert sum(0.8 <= v < 0.85 for v in sim.values()) > 40 and sum(0.7 < v < 0.8 for v in sim.values()) > 40
+    got = {r.doc_id: r.component_id for r in S.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components([p for p, v in sim.items() if v >= 0.8], [d for d, _ in rows])
+
+
+def test_maps_rule_no_near_copy_out():
+    rng = np.random.default_rng(7)
+    sets = [np.sort(rng.choice(2**62, 300, replace=False).astype(np.uint64)) for _ in range(4)]
+    near = [np.sort(np.r_[x[:280], rng.choice(2**62, 20).astype(np.uint64)]) for x in sets]
+    every = sets + near
+    n = np.array([len(x) for x in every])
+    bits = np.frombuffer(b"".join(S._parity(x) for x in every), np.uint64).reshape(len(every), -1)
+    assert {tuple(sorted(p)) for p in S._between(n, bits, np.arange(8))} == {(k, k + 4) for k in range(4)}
+    assert S._between(n, bits, np.zeros(8, int)) == []
+    for a in range(8):
+        assert all(S._may_link(n, bits, a, np.array([b]))[0] for b in range(8) if S.alike(every[a], every[b]))
