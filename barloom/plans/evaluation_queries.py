@@ -280,8 +280,12 @@ dr as (select t0, path, b * 5 + i j, least(t0, s + i) q from sb cross join range
 _RESETS = "select distinct t t0 from ranked where t % 210 = 50"
 
 
-def _resets(spark, sf_dir) -> DataFrame:
-    return ranking(spark, sf_dir, "momentum").where("t % 210 = 50").select(F.col("t").alias("t0")).distinct()
+#: The part of the job that the SQL of bootstrap_days, mc_quantiles and mc_calibration covers; their _all forms have every reset and PATHS paths.
+_TENTH, PATHS = "t % 210 = 50", 500
+
+
+def _resets(spark, sf_dir, which: str = _TENTH) -> DataFrame:
+    return ranking(spark, sf_dir, "momentum").where(which).select(F.col("t").alias("t0")).distinct()
 
 
 @register("bootstrap_days", sql.query(_boot(50, _RESETS), "select t0, path, j, q from dr"))
@@ -289,14 +293,20 @@ def bootstrap_days(spark, sf_dir):
     return simulate.bootstrap_days(_resets(spark, sf_dir), 50)
 
 
+@register("bootstrap_days_all")
+def bootstrap_days_all(spark, sf_dir):
+    """Drawn sessions of every reset of the ranking, PATHS paths each."""
+    return simulate.bootstrap_days(_resets(spark, sf_dir, "true"), PATHS)
+
+
 _MC = _boot(100, _RESETS) + f""", mt as (select t t0, ticker from ranked where rank < {K} and t % 210 = 50),
 pr as (select dr.t0, path, mt.ticker, exp(coalesce(sum(ret), 0)) - 1 ret from dr join mt using (t0) left join (select t q, ticker, ret from pan) m on m.q = dr.q and m.ticker = mt.ticker group by dr.t0, path, mt.ticker),
 bk as (select t0, path, sum(ret) / {K} ret from pr group by t0, path)"""
 
 
-def _book(spark, sf_dir) -> DataFrame:
-    target = ranking(spark, sf_dir, "momentum").where((F.col("rank") < K) & (F.col("t") % 210 == 50)).select(F.col("t").alias("t0"), "ticker")
-    drawn = simulate.bootstrap_days(target.select("t0").distinct(), 100)
+def _book(spark, sf_dir, which: str = _TENTH, paths: int = 100) -> DataFrame:
+    target = ranking(spark, sf_dir, "momentum").where(F.col("rank") < K).where(which).select(F.col("t").alias("t0"), "ticker")
+    drawn = simulate.bootstrap_days(target.select("t0").distinct(), paths)
     return simulate.book_returns(simulate.path_returns(drawn, panel.log_return(panel.carry_forward(panel.dense(bars(spark, sf_dir)))), target), K)
 
 
@@ -305,6 +315,11 @@ def mc_quantiles(spark, sf_dir):
     return rnd(simulate.quantiles(_book(spark, sf_dir), "t0"))
 
 
+@register("mc_quantiles_all")
+def mc_quantiles_all(spark, sf_dir):
+    return rnd(simulate.quantiles(_book(spark, sf_dir, "true", PATHS), "t0"))
+
+
 @register(
     "mc_calibration",
     sql.query(
@@ -315,12 +330,21 @@ ag as (select t0, any_value(rr) rr, avg(ret) mean, quantile_cont(ret, 0.05) p5,
     ),
 )
 def mc_calibration(spark, sf_dir):
+    return _calibration(spark, sf_dir, _TENTH, 100)
+
+
+@register("mc_calibration_all")
+def mc_calibration_all(spark, sf_dir):
+    return _calibration(spark, sf_dir, "true", PATHS)
+
+
+def _calibration(spark, sf_dir, which: str, paths: int) -> DataFrame:
     p = universe(spark, sf_dir)
     nxt = F.lead("cf", 21).over(panel.by())
     moves = p.select("t", "ticker", F.when((nxt > 0) & (F.col("cf") > 0), nxt / F.col("cf") - 1).otherwise(0.0).alias("x"))
-    target = ranking(spark, sf_dir, "momentum").where((F.col("rank") < K) & (F.col("t") % 210 == 50)).select("t", "ticker")
+    target = ranking(spark, sf_dir, "momentum").where(F.col("rank") < K).where(which).select("t", "ticker")
     real = moves.join(target, ["t", "ticker"]).groupBy(F.col("t").alias("t0")).agg((F.sum("x") / K).alias("real"))
-    out = simulate.calibration(_book(spark, sf_dir), real)
+    out = simulate.calibration(_book(spark, sf_dir, which, paths), real)
     return rnd(out.withColumn("correlation", F.round("correlation", 6)))
 
 
