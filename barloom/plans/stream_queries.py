@@ -193,8 +193,8 @@ def allocate_markets(spark, sf_dir):
 
 @register("regimes")
 def regimes(spark, sf_dir):
-    market = panel.market_return(universe(spark, sf_dir)).where("t >= 300")
-    return models.regimes(market, market.where("t % 210 = 50 and t > 700").select(F.col("t").alias("t0")))
+    market = panel.market_return(universe(spark, sf_dir)).where("mkt is not null")
+    return models.regimes(market, ranking(spark, sf_dir, "momentum").select(F.col("t").alias("t0")).distinct())
 
 
 @register("nn_samples")
@@ -208,7 +208,7 @@ def nn_walk_forward(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    top = ranking(spark, sf_dir, "momentum").where((F.col("rank") < 6) & (F.col("t") % 420 == 50))
+    top = ranking(spark, sf_dir, "momentum").where("rank < 6")
     return top.select(F.col("t").alias("t0"), "ticker")
 
 
@@ -216,7 +216,7 @@ def _candidates(spark, sf_dir):
 def mc_stops(spark, sf_dir):
     """Each candidate over drawn sessions with a volatility stop."""
     p = panel.with_market(universe(spark, sf_dir))
-    return rnd(montecarlo.simulate(p, _candidates(spark, sf_dir), backtest.Settings(psarvol=3.0), paths=50))
+    return rnd(montecarlo.simulate(p, _candidates(spark, sf_dir), backtest.Settings(psarvol=3.0)))
 
 
 @register("mc_choose")
@@ -229,6 +229,6 @@ def mc_settings(spark, sf_dir):
     """The stop multiple with the best simulated mean, by ticker, and what most of a reset's tickers chose."""
     p = panel.with_market(universe(spark, sf_dir))
     c = _candidates(spark, sf_dir)
-    runs = [montecarlo.simulate(p, c, backtest.Settings(psarvol=float(m)), paths=20).withColumn("setting", F.lit(m)) for m in (2, 3, 6)]
+    runs = [montecarlo.simulate(p, c, backtest.Settings(psarvol=float(m))).withColumn("setting", F.lit(m)) for m in (2, 3, 6)]
     best = montecarlo.best_settings(runs[0].unionByName(runs[1]).unionByName(runs[2]))
     return best.join(F.broadcast(montecarlo.voted(best).withColumnRenamed("setting", "voted")), "t0")

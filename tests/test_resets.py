@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__
 from barloom.plans import evaluation_queries as E
+from barloom.plans import stream_queries as Q
 
 SF = __spark_entry__.SMOKE_DIR
 
@@ -37,3 +38,14 @@ def test_quantiles_and_calibration_have_every_reset(spark, resets):
     for t0, own in book.groupby("t0")["ret"]:
         assert got.loc[t0, ["p5", "p50", "p95"]].tolist() == pytest.approx(np.quantile(own, [0.05, 0.5, 0.95]).tolist(), abs=1e-7)
     assert E.mc_calibration_all(spark, SF).first().resets == len(resets)
+
+
+def test_stops_have_every_reset(spark, resets):
+    got = Q.mc_stops(spark, SF).toPandas()
+    assert set(got["t0"]) == resets and (got.groupby(["t0", "ticker"]).size() == 500).all()
+    asked = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Q.models, "regimes", lambda market, t0: asked.append((market, t0)))
+        Q.regimes(spark, SF)
+    market, t0 = asked[0]
+    assert {r.t0 for r in t0.collect()} == resets and market.where(f"t <= {min(resets)}").count() > 20
