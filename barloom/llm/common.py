@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to Python: whole texts, so a batch stays within tens of MB.
 ARROW_ROWS = 1000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,27 +25,31 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one is set where the session names none."""
+    """The checkpoint folder of the session, which driver and executors share (``spark.checkpoint.dir``).
+
+    Where the session names none, a temporary folder is set on one machine (``local[...]``); on a cluster that is an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="barloom-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` kept in the checkpoint folder of the session (``spark.checkpoint.dir``), which all executors share.
-
-    Where the session names no folder (tests on one machine), a temporary one is set.
-    """
-    work_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Gives back the shuffle files of steps that nothing refers to any more, not when the driver next collects garbage."""
-    gc.collect()
-    time.sleep(0.5)  # the driver's JVM learns a moment later what Python has let go
-    spark.sparkContext._jvm.System.gc()
+    """``df`` kept in the checkpoint folder of the session; the shuffle files of the steps before it go as soon as it is written."""
+    spark = df.sparkSession
+    work_folder(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_CLEANUP, before or "false")
 
 
 def columns(df: DataFrame, **wanted: str) -> DataFrame:

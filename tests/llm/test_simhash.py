@@ -125,12 +125,41 @@ def test_copies_at_the_similarity_match_brute_force(spark):
 
 def test_maps_rule_no_near_copy_out():
     rng = np.random.default_rng(7)
-    sets = [np.sort(rng.choice(2**62, 300, replace=False).astype(np.uint64)) for _ in range(4)]
-    near = [np.sort(np.r_[x[:280], rng.choice(2**62, 20).astype(np.uint64)]) for x in sets]
+    sets = [np.sort(rng.choice(2**62, n, replace=False).astype(np.uint64)) for n in (300, 260, 1000, 30)]
+    near = [np.sort(np.r_[x[: len(x) - len(x) // 15], rng.choice(2**62, len(x) // 15).astype(np.uint64)]) for x in sets]
     every = sets + near
-    n = np.array([len(x) for x in every])
-    bits = np.frombuffer(b"".join(S._parity(x) for x in every), np.uint64).reshape(len(every), -1)
-    assert {tuple(sorted(p)) for p in S._between(n, bits, np.arange(8))} == {(k, k + 4) for k in range(4)}
-    assert S._between(n, bits, np.zeros(8, int)) == []
+    maps = S._Maps(np.array([len(x) for x in every]), [S._parity(x) for x in every])
+    assert {tuple(sorted(p)) for p in maps.between(np.arange(8))} == {(k, k + 4) for k in range(4)}
+    assert maps.between(np.zeros(8, int)) == []
     for a in range(8):
-        assert all(S._may_link(n, bits, a, np.array([b]))[0] for b in range(8) if S.alike(every[a], every[b]))
+        assert all(maps.may_link(a, np.array([b]))[0] for b in range(8) if S.alike(every[a], every[b]))
+
+
+def test_maps_of_other_widths():
+    rng = np.random.default_rng(8)
+    for n in (120, 128, 129, 136, 255, 257):
+        x = rng.choice(2**62, n, replace=False).astype(np.uint64)
+        for m in (n - n // 12, n):
+            y = np.r_[x[: n - n // 12], rng.choice(2**62, m - (n - n // 12)).astype(np.uint64)]
+            x1, y1 = np.sort(x), np.sort(y)
+            maps = S._Maps(np.array([len(x1), len(y1)]), [S._parity(x1), S._parity(y1)])
+            assert S.alike(x1, y1) and maps.may_link(0, np.array([1]))[0] and maps.may_link(1, np.array([0]))[0]
+
+
+@pytest.mark.parametrize("part", [1, 3, 2000])
+def test_divided_cells_lose_no_link(spark, part):
+    """Groups of many near copies, whose shingles are common, so that their cells are divided."""
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(4):
+        base = prose(120)
+        for j in range(30):
+            own = list(base)
+            for at in rng.sample(range(len(own)), (0, 1, 2, 3)[k]):
+                own[at] = f"e{rng.randint(0, 10**6)}"
+            rows.append((100 * k + j, " ".join(own)))
+    sim = {(a, b): jaccard(x, y) for a, x in rows for b, y in rows if a < b and a // 100 == b // 100}
+    assert sum(0.75 < v < 0.8 for v in sim.values()) > 30 and sum(0.8 <= v < 0.85 for v in sim.values()) > 30
+    got = {r.doc_id: r.component_id for r in S.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), part=part).collect()}
+    assert got == components([p for p, v in sim.items() if v >= 0.8], [d for d, _ in rows])
