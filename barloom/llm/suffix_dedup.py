@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import columns, cut_lineage, small_batches
@@ -427,10 +427,10 @@ def repeated_bytes(
     found = _doc_blocks(own.select(*keys), length)
     first = found.groupBy("name").agg(F.min(F.struct("d", "x", "block", "minis")).alias("f"))
     first = first.select(F.xxhash64("name").alias("own"), "f.*")
+    listed = first.select(F.explode("minis").alias("mini"), "own")
+    often = listed.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1")  # counted before the shuffle, so a common one meets nowhere
     shared = (
-        first.select(F.explode("minis").alias("mini"), "own")
-        .withColumn("n", F.count("*").over(Window.partitionBy("mini")))
-        .where("n > 1")
+        listed.join(often, "mini")
         .groupBy("own")
         .agg(F.collect_set("mini").alias("minis"), F.collect_set(F.when(F.col("n") > hot, F.col("mini"))).alias("hot"))
     )
