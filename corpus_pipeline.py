@@ -55,10 +55,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written to the session's shared folder and read back."""
+    """All stages over ``documents``; each result but the last is written to the session's shared folder and read back.
+
+    A stage's folder goes when the next one is written, and the last one's when the session's file system is closed.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path)
+    before = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        if before is not None:
+            files.delete(before, True)
+        before = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
