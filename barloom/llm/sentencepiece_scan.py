@@ -5,7 +5,8 @@ pieces encode to themselves when put together: a merge across a border would be
 happen between those two pieces alone as well. So a path has weight 0 if all its neighbours agree and minus infinity
 else; in a unigram model its weight is the sum of the scores. A chunk of a giant text turns the state at its left border (the piece
 that holds the character before it) into states at its right border: a matrix over (max, +). Matrices combine
-associatively, which gives every chunk its states; then each chunk traces its pieces back on its own. Where a blank
+associatively: two by two within blocks of chunks, then those of the blocks; going back down the same way
+gives every block and every chunk its states, and each chunk traces its pieces back on its own. Where a blank
 starts a word and no piece joins it to what is before, the border has one state, so words are solved once and kept.
 """
 
@@ -14,7 +15,9 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,11 @@ from barloom.llm.common import columns, small_batches
 MODEL = "piece_bpe_32k.model"
 #: Characters of a chunk, and words whose pieces a process keeps.
 CHUNK, KEPT_WORDS = 32_768, 400_000
+#: Longest words that are solved many at once, and chunks whose matrices one task combines.
+MANY, BLOCK = 64, 256
+#: Slots of what is known of neighbours.
+_SLOT_BITS = 21
+_SLOTS = 1 << _SLOT_BITS
 BLANK = "▁"
 State = tuple[int, int]  # a piece by its start and end
 _NONE = -1
@@ -69,6 +77,7 @@ class Model:
                 step = node.setdefault(c, [{}, None])
                 node = step[0]
             step[1] = i
+        self.table = _Table(self.piece)
         order = sorted(self.score, key=lambda p: -self.score[p])
         self.rank = {p: i for i, p in enumerate(order) if len(p) > 1}
         self.split: dict[str, tuple[str, str] | None] = {}
@@ -223,18 +232,23 @@ class Model:
             i = start
         return pieces[::-1]
 
-    def trace_ids(self, text: str, first: State | None, last: State) -> list[int]:
-        """Ids of the chunk's pieces after ``first`` up to and with ``last``; whole words within are looked up."""
+    def traced(self, text: str, first: State | None, last: State) -> tuple[list[int], str, list[int]]:
+        """The chunk's pieces after ``first`` up to and with ``last``: ids, the whole words after them, and ids behind these."""
         begin = 0 if first is None else first[1]
         within = self._words_within(text, begin, last[0] + 1) if last[0] >= begin else None
         if within is None:
-            return self.ids(self.trace(text, first, last))
+            return self.ids(self.trace(text, first, last)), "", []
         head, tail = within
         out = []
         if head > begin:
             state = (self.forward(text, first, head)[head][1], head)
             out = self.ids(self.trace(text, first, state))
-        return out + self.encode_normal(text[head:tail]) + self.ids(self.trace(text, (tail, tail), last))
+        return out, text[head:tail], self.ids(self.trace(text, (tail, tail), last))
+
+    def trace_ids(self, text: str, first: State | None, last: State) -> list[int]:
+        """Ids of the chunk's pieces after ``first`` up to and with ``last``; whole words within are looked up."""
+        head, words, tail = self.traced(text, first, last)
+        return head + self.encode_normal(words) + tail
 
     def ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -258,8 +272,6 @@ class Model:
         if found is None and (found := self.older.get(text)) is not None:
             self.solved[text] = found
         if found is None:
-            if len(self.solved) >= KEPT_WORDS:  # words that come again move over from the older half
-                self.older, self.solved = self.solved, {}
             ids = self._word_by_pairs(text) if not self.unigram and len(text) > 1 else None
             if ids is None:
                 (row,) = self.transfer(text, 0, len(text)).values()
@@ -303,6 +315,97 @@ class Model:
             j = start[j]
         return tuple(out[::-1])
 
+    def _agree_ids(self, key: int) -> bool:
+        """``agree`` for two pieces by their ids, the first one's shifted by 20 bits."""
+        known = self.agreed_ids.get(key)
+        if known is None:
+            if len(self.agreed_ids) > KEPT_WORDS:
+                self.agreed_ids.clear()
+            names = self.table.names
+            a, b = names[key >> 20] if key >> 20 != _START_ID else "", names[key & _START_ID]
+            known = self.agreed_ids[key] = self._agree(a, b) if a else len(b) == 1 or self._last_merge(b) is not None
+        return known
+
+    def solve(self, words: list[str]) -> None:
+        """Keeps the ids of many words of a byte-pair model, found place by place for all of them at once."""
+        if self.unigram or not words:
+            return
+        raw = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.array(list(map(len, words)))
+        code = self.table.codes(raw)
+        begin = np.cumsum(size) - size
+        known = np.add.reduceat(code == 0, begin) == 0
+        if not known.all():
+            words = [w for w, k in zip(words, known.tolist()) if k]
+            size, code = size[known], code[np.repeat(known, size)]
+            if not len(size):
+                return
+            begin = np.cumsum(size) - size
+        top = int(size.max())
+        chars = np.zeros((top, len(size)), np.uint8)
+        chars[np.arange(len(code)) - np.repeat(begin, size), np.repeat(np.arange(len(size)), size)] = code
+        last = np.full((top + 1, len(size)), _NONE, np.int32)
+        start = np.zeros((top + 1, len(size)), np.uint8)
+        last[0] = _START_ID
+        for i in range(top):
+            at = np.flatnonzero((last[i] != _NONE) & (size > i))
+            before = last[i, at].astype(np.int64) << 20
+            node = np.zeros(len(at), np.int32)
+            for j in range(i + 1, min(top, i + self.longest) + 1):
+                node = self.table.after[node, chars[j - 1, at]]
+                live = node > 0
+                if not live.all():
+                    at, before, node = at[live], before[live], node[live]
+                if not len(at):
+                    break
+                own = self.table.piece[node]
+                ends = np.flatnonzero((own != _NONE) & (last[j, at] == _NONE))
+                if len(ends):
+                    fine = ends[self.table.agree(before[ends] | own[ends], self._agree_ids)]
+                    last[j, at[fine]] = own[fine]
+                    start[j, at[fine]] = i
+        steps, at, j = [], np.arange(len(size)), size.copy()
+        done = last[j, at] != _NONE
+        at, j = at[done], j[done]
+        while len(at):
+            steps.append((at, last[j, at]))
+            j = start[j, at].astype(np.int64)
+            at, j = at[j > 0], j[j > 0]
+        if not steps:
+            return
+        count = np.bincount(np.concatenate([a for a, _ in steps]), minlength=len(size))
+        end = np.cumsum(count)
+        ids = np.empty(int(end[-1]), "<u4")
+        for k, (a, i) in enumerate(steps):
+            ids[end[a] - 1 - k] = i
+        packed, stop = ids.tobytes(), (4 * end).tolist()
+        for w, a, b in zip(words, [0, *stop], stop):
+            if b > a:
+                self.solved[w] = packed[a:b]
+
+    def packed_many(self, texts: list[str]) -> list[bytes]:
+        """``packed_normal`` of many texts: their words that aren't known yet are solved together."""
+        if not self.words_apart:
+            return [self.packed_normal(t) for t in texts]
+        words = [self.parts.findall(t) for t in texts]
+        if len(self.solved) >= KEPT_WORDS:  # words that come again move over from the older half
+            self.older, self.solved = self.solved, {}
+        missing: set[str] = set()
+        for w in words:
+            missing.update(filterfalse(self.solved.__contains__, w))
+        if missing and self.older:
+            back = missing & self.older.keys()
+            self.solved.update(zip(back, map(self.older.__getitem__, back)))
+            missing -= back
+        self.solve([w for w in missing if len(w) <= MANY])
+        out = []
+        for w in words:
+            found = list(map(self.solved.get, w))
+            if None in found:
+                found = [f if f is not None else self.word(x) if len(x) <= CHUNK else _packed(self.scanned(x)) for x, f in zip(w, found)]
+            out.append(b"".join(found))
+        return out
+
     def normal(self, text: str) -> str:
         if self.as_is and text:
             return BLANK + text.replace(" ", BLANK)
@@ -312,11 +415,9 @@ class Model:
         """Ids of a whole normalized text, which is solved word by word, and long words chunk by chunk."""
         if not text:
             return b""
-        words = self.parts.findall(text) if self.words_apart else [text]
-        found = list(map(self.solved.get, words))
-        if None in found:
-            found = [f if f is not None else self.word(w) if len(w) <= CHUNK else _packed(self.scanned(w)) for w, f in zip(words, found)]
-        return b"".join(found)
+        if self.words_apart:
+            return self.packed_many([text])[0]
+        return self.word(text) if len(text) <= CHUNK else _packed(self.scanned(text))
 
     def encode_normal(self, text: str) -> list[int]:
         return _ids(self.packed_normal(text))
@@ -348,6 +449,46 @@ class Model:
         return "".join(out).removeprefix(" ")
 
 
+class _Table:
+    """Pieces as a tree in arrays, over their 255 most frequent characters, and what is known of neighbours."""
+
+    def __init__(self, piece: dict[str, int]) -> None:
+        often = Counter(c for p in piece for c in p)
+        own = {c: k for k, (c, _) in enumerate(often.most_common(255), 1) if ord(c) < 1 << 16}
+        self.code = np.zeros(1 << 16, np.uint8)
+        for c, k in own.items():
+            self.code[ord(c)] = k
+        self.names = {i: p for p, i in piece.items()}
+        steps: dict[tuple[int, int], int] = {}
+        ids = {}
+        for p, i in piece.items():
+            if all(c in own for c in p):
+                node = 0
+                for c in p:
+                    node = steps.setdefault((node, own[c]), len(steps) + 1)
+                ids[node] = i
+        self.after = np.zeros((len(steps) + 1, len(own) + 1), np.int32)  # 0: no piece goes on so
+        for (node, k), to in steps.items():
+            self.after[node, k] = to
+        self.piece = np.full(len(steps) + 1, _NONE, np.int32)
+        self.piece[list(ids)] = list(ids.values())
+        self.key, self.fine = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
+
+    def codes(self, points: np.ndarray) -> np.ndarray:
+        return np.where(points < 1 << 16, self.code[points & 0xFFFF], 0).astype(np.uint8)
+
+    def agree(self, keys: np.ndarray, ask: Callable[[int], bool]) -> np.ndarray:
+        """``ask`` for each key, remembered in one slot by a hash of the key."""
+        slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        fine, new = self.fine[slot], self.key[slot] != keys
+        if new.any():
+            some, back = np.unique(keys[new], return_inverse=True)
+            known = np.fromiter(map(ask, some.tolist()), bool, len(some))
+            fine[new] = known[back]
+            self.key[slot[new]], self.fine[slot[new]] = keys[new], fine[new]
+        return fine
+
+
 _START = re.compile(f"(?:^|[^{BLANK}])(?={BLANK})")
 _MODELS: dict[tuple[str, bool | None], Model] = {}
 
@@ -415,18 +556,35 @@ def combine(a: dict, b: dict) -> dict:
     return out
 
 
+def ladder(matrices: list[dict]) -> list[list[dict]]:
+    """The matrices, the products of neighbours two by two, of those again, and so on up to one."""
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        now = levels[-1]
+        levels.append([combine(*now[i : i + 2]) if i + 1 < len(now) else now[i] for i in range(0, len(now), 2)])
+    return levels
+
+
+def descend(levels: list[list[dict]], first: State | None, last: State) -> list[State]:
+    """The state at the right border of each matrix on the best path from ``first`` to ``last``, found from the whole down to its parts."""
+    ends = [last]
+    for level in levels[-2::-1]:
+        now, left = [], first
+        for i, end in enumerate(ends):
+            if 2 * i + 1 < len(level):
+                a, b = level[2 * i].get(left, {}), level[2 * i + 1]
+                now.append(max((s for s in a if end in b.get(s, {})), key=lambda s: (a[s] + b[s][end], -s[0])))
+            now.append(end)
+            left = end
+        ends = now
+    return ends
+
+
 def scan(matrices: list[dict]) -> list[State]:
     """The state at the right border of each chunk on the best path through all of them."""
-    upto = [matrices[0]]
-    for m in matrices[1:]:
-        upto.append(combine(upto[-1], m))
-    state = max(upto[-1][None], key=lambda s: (upto[-1][None][s], -s[0]))
-    states = [state]
-    for k in range(len(matrices) - 1, 0, -1):
-        left = upto[k - 1][None]
-        state = max((s for s in left if state in matrices[k].get(s, {})), key=lambda s: (left[s] + matrices[k][s][state], -s[0]))
-        states.append(state)
-    return states[::-1]
+    levels = ladder(matrices)
+    whole = levels[-1][0][None]
+    return descend(levels, None, max(whole, key=lambda s: (whole[s], -s[0])))
 
 
 def _packed(ids: Sequence[int]) -> bytes:
@@ -441,8 +599,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     """(doc_id, n_tokens, ids_crc32, round_trip[, ids]), a row a row of ``docs``.
 
     ids are those of the whole text; ids_crc32 is over them as little-endian 32-bit words; round_trip says whether
-    decoding gives the text back. A null or empty text has no ids and comes back as empty. Texts of over ``chunk`` characters are dealt as chunks: matrices, a scan
-    over each text's matrices, and traces; a row's own place keeps rows with equal ids apart.
+    decoding gives the text back. A null or empty text has no ids and comes back as empty. Texts of over ``chunk``
+    characters are dealt as chunks: matrices, their products by blocks of ``BLOCK`` chunks, states, and traces; a row's
+    own place keeps rows with equal ids apart. An empty table gives an empty result; other columns play no part.
     """
     small_batches(docs.sparkSession)
 
@@ -450,7 +609,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         m = model(model_name)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            packed = [m.packed_normal(m.normal(t)) for t in texts]
+            packed = m.packed_many([m.normal(t) for t in texts])
             ids = list(map(_ids, packed)) if with_ids else [None] * len(packed)
             same = [m.decode(_ids(p)) == t for p, t in zip(packed, texts)]
             cols = [b.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(map(zlib.crc32, packed), pa.int64()), pa.array(same), pa.array(ids, pa.list_(pa.int32()))]
@@ -486,22 +645,40 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
             names = ["doc_id", "own", "n", "k", "a", "b", "c", "d", "w"]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 9, kinds)], names)
 
-    def scanned(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        parts: list[dict] = [{} for _ in range(int(rows["n"].iloc[0]))]
+    def parts_of(rows: pd.DataFrame) -> dict[int, dict]:
+        parts: dict[int, dict] = {}
         for k, a, b, c, d, w in rows[["k", "a", "b", "c", "d", "w"]].itertuples(index=False):
-            parts[k].setdefault(None if a == _NONE else (a, b), {})[c, d] = w
-        states = scan(parts)
-        firsts = [(_NONE, _NONE), *states[:-1]]
-        return pd.DataFrame([(key[0], k, *x, *y) for k, (x, y) in enumerate(zip(firsts, states))], columns=["own", "k", "a", "b", "c", "d"])
+            parts.setdefault(k, {}).setdefault(None if a == _NONE else (a, b), {})[c, d] = w
+        return dict(sorted(parts.items()))
+
+    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The product of a block's matrices."""
+        whole = ladder(list(parts_of(rows).values()))[-1][0]
+        out = [(key[0], key[1], *(a or (_NONE, _NONE)), *c, w) for a, row in whole.items() for c, w in row.items()]
+        return pd.DataFrame(out, columns=["own", "k", "a", "b", "c", "d", "w"])
+
+    def borders(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The states at the borders of the blocks of a text."""
+        states = scan(list(parts_of(rows).values()))
+        return pd.DataFrame([(key[0], k, *x, *y) for k, (x, y) in enumerate(zip([(_NONE, _NONE), *states], states))], columns=["own", "g", "a", "b", "c", "d"])
+
+    def within(key: tuple, rows: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        """The states at the borders of the chunks of a block, whose own are known."""
+        parts = parts_of(rows)
+        a, b, c, d = ends[["a", "b", "c", "d"]].iloc[0].tolist()
+        states = descend(ladder(list(parts.values())), None if a == _NONE else (a, b), (c, d))
+        return pd.DataFrame([(key[0], k, *x, *y) for k, x, y in zip(parts, [(a, b), *states], states)], columns=["own", "k", "a", "b", "c", "d"])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
         for b in batches:
-            ids = []
+            found = []
             for before, text, i, j, x, y in zip(*(c.to_pylist() for c in b.columns[3:])):
                 first = None if i == _NONE else (i - before, j - before)
-                ids.append(m.trace_ids(text, first, (x - before, y - before)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "own", "k", "ids"])
+                found.append(m.traced(text, first, (x - before, y - before)))
+            words = m.packed_many([f[1] for f in found])
+            ids = [_packed(head) + w + _packed(tail) for (head, _, tail), w in zip(found, words)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids, pa.binary())], ["doc_id", "own", "k", "ids"])
         m.forget()
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -509,8 +686,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         for b in batches:
             rows = []
             for d, t, parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                ids = [i for p in sorted(parts, key=lambda p: p["k"]) for i in p["ids"]]
-                rows.append((d, len(ids), zlib.crc32(_packed(ids)), m.decode(ids) == t.as_py(), ids if with_ids else None))
+                packed = b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["k"]))
+                ids = _ids(packed)
+                rows.append((d, len(ids), zlib.crc32(packed), m.decode(ids) == t.as_py(), ids if with_ids else None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
             names = ["doc_id", "n_tokens", "ids_crc32", "round_trip", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [[]] * 5, kinds)], names)
@@ -523,9 +701,12 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     big = own.where(giant).withColumn("own", F.xxhash64("doc_id", "text"))
     cuts = big.dropDuplicates(["own"]).select("doc_id", "text", "own").mapInArrow(pieces, "doc_id long, own long, n long, k long, before long, size long, text string")
     cuts = cuts.repartition("own", "k")
-    states = cuts.mapInArrow(matrices, "doc_id long, own long, n long, k long, a long, b long, c long, d long, w double")
-    states = states.groupBy("own").applyInPandas(scanned, "own long, k long, a long, b long, c long, d long")
-    done = cuts.join(states, ["own", "k"]).select("doc_id", "own", "k", "before", "text", "a", "b", "c", "d").mapInArrow(traced, "doc_id long, own long, k long, ids array<int>")
+    steps = cuts.mapInArrow(matrices, "doc_id long, own long, n long, k long, a long, b long, c long, d long, w double")
+    blocks = steps.withColumn("g", F.floor(F.col("k") / BLOCK)).groupBy("own", "g")
+    state = "a long, b long, c long, d long"
+    ends = blocks.applyInPandas(block, f"own long, k long, {state}, w double").groupBy("own").applyInPandas(borders, f"own long, g long, {state}")
+    states = blocks.cogroup(ends.groupBy("own", "g")).applyInPandas(within, f"own long, k long, {state}")
+    done = cuts.join(states, ["own", "k"]).select("doc_id", "own", "k", "before", "text", "a", "b", "c", "d").mapInArrow(traced, "doc_id long, own long, k long, ids binary")
     done = done.groupBy("own").agg(F.collect_list(F.struct("k", "ids")).alias("parts"))
     large = big.join(done, "own").select("doc_id", "text", "parts").mapInArrow(assembled, schema)
     out = small.union(large)
