@@ -1,4 +1,4 @@
-"""Trading costs and order lists, in the currency of the market."""
+"""Costs of orders and order lists, in the currency of the market."""
 
 from __future__ import annotations
 
@@ -16,15 +16,18 @@ MARKETS = (
 )
 
 
-def commission(market: Column, value: Column, shares: Column, rate: Column | None = None, least: Column | None = None) -> Column:
-    """Fixed-price commission of an order; ``rate`` and ``least`` of a venue, where it has them."""
+def commission(market: Column, value: Column, shares: Column, rate: Column | None = None, least: Column | None = None, tiered: bool = False) -> Column:
+    """Commission of an order, at fixed or tiered prices; ``rate`` and ``least`` of a venue, where it has them."""
     other = F.greatest(F.coalesce(least, F.lit(3.0)) if least is not None else F.lit(3.0), (F.coalesce(rate, F.lit(0.0005)) if rate is not None else F.lit(0.0005)) * value)
-    return (
-        F.when(market == "FOREX", F.greatest(F.lit(2.0), 2e-5 * value))
-        .when(market == "US", F.least(0.01 * value, F.greatest(F.lit(1.0), 0.005 * shares)))
-        .when(market == "UK", F.greatest(F.lit(3.0), 0.0005 * value))
-        .otherwise(other)
-    )
+    above = lambda least, x: F.greatest(F.lit(least), x)
+    us = above(0.35, 0.0035 * shares) + 0.0005 * shares if tiered else F.least(0.01 * value, above(1.0, 0.005 * shares))
+    uk = above(1.0, 0.0005 * value) + above(0.10, 0.000045 * value) + 0.06 if tiered else above(3.0, 0.0005 * value)
+    return F.when(market == "FOREX", above(2.0, 2e-5 * value)).when(market == "US", us).when(market == "UK", uk).otherwise(other)
+
+
+def scaled_venues(venues: DataFrame, capital: float, base: float) -> DataFrame:
+    """``venues`` with their amounts scaled as the capital is to the one they were made for; without a base they stay."""
+    return venues.withColumn("amount", F.col("amount") * capital / base) if base > 0 else venues
 
 
 def buy_tax(market: Column, free: Column, venue_tax: Column | None = None) -> Column:

@@ -68,6 +68,20 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str)
     return both.withColumn(value, F.last("_v", True).over(w)).where("_l = 1").drop("_v", "_l")
 
 
+def chart_ticks(curve: DataFrame, multiples: tuple[float, ...]) -> DataFrame:
+    """(m, y): the multiples of the start that a curve of log wealth (u, w) covers, on its scale from 0 to 1."""
+    ends = curve.agg(F.min("w").alias("lo"), F.max("w").alias("hi"))
+    rows = ends.select("*", F.explode(F.array(*map(F.lit, multiples))).alias("m")).where(F.log("m").between(F.col("lo"), F.col("hi")) & (F.col("hi") > F.col("lo")))
+    return rows.select("m", ((F.log("m") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("y"))
+
+
+def year_starts(sessions: DataFrame) -> DataFrame:
+    """(label, x): each year of the sessions (t, d) and where its first one lies, from 0 to 1."""
+    last = sessions.agg(F.greatest(F.lit(1), F.max("t")).alias("last"))
+    first = sessions.groupBy(F.year("d").alias("label")).agg(F.min("t").alias("t"))
+    return first.crossJoin(F.broadcast(last)).select("label", (F.col("t") / F.col("last")).alias("x"))
+
+
 def chart_points(curve: DataFrame, most: int = 800) -> DataFrame:
     """(u, x): at most ``most`` points of a curve (u, w), scaled from 0 to 1, the last one always."""
     n = curve.agg(F.count("*").alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi"), F.max("u").alias("end"))

@@ -28,6 +28,31 @@ def _upper_median(x: pd.Series) -> float:
     return x[len(x) // 2] if x else 0.0
 
 
+def cross_rates(last: DataFrame) -> DataFrame:
+    """(currency, rate): units for one EUR, from the last closes (pair, rate) of EURGBP, GBPUSD and EURAUD.
+
+    GBP comes from EURGBP, USD through GBP, AUD from EURAUD; a currency whose pairs are missing or not positive is left out.
+    """
+    of = lambda pair: F.max(F.when((F.col("pair") == pair) & (F.col("rate") > 0), F.col("rate")))
+    one = last.agg(of("EURGBP").alias("g"), of("GBPUSD").alias("d"), of("EURAUD").alias("a"))
+    rows = [F.struct(F.lit(n).alias("currency"), x.alias("rate")) for n, x in (("EUR", F.lit(1.0)), ("GBP", F.col("g")), ("USD", F.col("g") * F.col("d")), ("AUD", F.col("a")))]
+    return one.select(F.inline(F.array(*rows))).where("rate is not null")
+
+
+def distinct_values(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """(by, n, one count for each column): how many different values, other than null and empty, each group has."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), *(F.count_distinct(F.when(F.col(c) != "", F.col(c))).alias(c) for c in columns))
+
+
+def due(jobs: DataFrame, day: int, minute: int, tries: int = 3, wait: int = 10) -> DataFrame:
+    """Jobs (job, at, done_day, tries, last_try) to run now: their minute has come, they aren't done today, and they may be tried again.
+
+    A job that failed is tried again ``wait`` minutes after its last try, ``tries`` times at most.
+    """
+    again = (F.coalesce("tries", F.lit(0)) == 0) | ((F.col("tries") < tries) & (F.col("last_try") + wait <= minute))
+    return jobs.where((F.col("at") <= minute) & (F.coalesce("done_day", F.lit(-1)) < day) & again)
+
+
 def infer_splits(bars: DataFrame, window: int = 20) -> DataFrame:
     """Bars with splits undone that prices and volumes show: all before one are rescaled, and later ones see that.
 
@@ -130,7 +155,7 @@ def tick_size(orders: DataFrame, bands: DataFrame) -> DataFrame:
 def outlook(orders: DataFrame, trades: DataFrame, slots: int, half_life: float = 10.0) -> DataFrame:
     """(expected, delivered, outlook): what the orders promise a day, and how much of their promises trades kept lately.
 
-    ``orders`` has expected and hold; ``trades`` d, expected, ret, filled. Weights halve every ``half_life`` trading days.
+    ``orders`` has expected and hold; ``trades`` d, expected, ret, filled. Weights halve every ``half_life`` sessions.
     """
     promise = orders.agg((F.sum(F.col("expected") / F.greatest(F.lit(1.0), F.col("hold"))) / slots).alias("expected"))
     age = F.dense_rank().over(Window.orderBy(F.desc("d"))) - 1

@@ -67,6 +67,51 @@ def report_json(orders: DataFrame) -> DataFrame:
     return orders.groupBy("t").agg(F.to_json(F.struct(F.count("*").alias("n"), rows.alias("orders"))).alias("report"))
 
 
+def report_text(orders: DataFrame) -> DataFrame:
+    """(t, report): the day's orders as lines of plain text, in the order of their place, under a line with their number."""
+    line = F.format_string("%d. %s, expected %.2f%%, costs %.2f%%", F.col("place") + 1, F.col("ticker"), 100 * F.col("gross"), 100 * F.col("cost"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"])
+    return orders.groupBy("t").agg(F.concat_ws("\n", F.concat(F.count("*").cast("string"), F.lit(" orders")), F.array_join(lines, "\n")).alias("report"))
+
+
+def book_json(orders: DataFrame, updates: DataFrame) -> DataFrame:
+    """(t, book): ``report_json`` with the day's updates of what is held (t, ticker, keep), by ticker."""
+    moves = F.sort_array(F.collect_list(F.struct("ticker", "keep")))
+    rows = F.sort_array(F.collect_list(F.struct("place", "ticker", "gross", "cost")))
+    own = orders.groupBy("t").agg(rows.alias("orders")).join(updates.groupBy("t").agg(moves.alias("updates")), "t", "left")
+    return own.select("t", F.to_json(F.struct("orders", F.coalesce("updates", F.array().cast("array<struct<ticker:string,keep:boolean>>")).alias("updates"))).alias("book"))
+
+
+def unit_ratio(paid: Column, modelled: Column) -> Column:
+    """paid / modelled after the unit (1, 1/100 or 100) that brings it nearest to one is taken out; ties to the first."""
+    r = paid / modelled
+    off = lambda s: F.abs(F.log(r / s))
+    return r / F.when((off(1.0) <= off(0.01)) & (off(1.0) <= off(100.0)), 1.0).when(off(0.01) <= off(100.0), 0.01).otherwise(100.0)
+
+
+def broker_history(rows: DataFrame, *by: str) -> DataFrame:
+    """Of orders with what was traded and what the model says, by ``by``: rates, wins, profit, agreement, gap and returns.
+
+    ``rows`` has filled, ret, pnl, paid (the broker's; null where nothing is known) and model_filled, model_ret, entry.
+    A share counts as bought where ``filled``; the gap of entries is after ``unit_ratio``.
+    """
+    both = F.col("filled") & F.col("model_filled")
+    checked = F.col("model_filled").isNotNull()
+    gap = F.when(both, unit_ratio(F.col("paid"), F.col("entry")) - 1)
+    known = both & F.col("ret").isNotNull()
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("orders"),
+        F.count_if("filled").alias("bought"),
+        F.count_if(F.col("filled") & (F.col("ret") > 0)).alias("wins"),
+        F.sum(F.when(F.col("filled"), F.col("pnl")).otherwise(0.0)).alias("pnl"),
+        F.count_if(checked).alias("checked"),
+        F.count_if(checked & (F.col("filled") == F.col("model_filled"))).alias("agree"),
+        F.avg(gap).alias("gap"),
+        F.avg(F.when(known, F.col("ret"))).alias("ret"),
+        F.avg(F.when(known, F.col("model_ret"))).alias("model_ret"),
+    )
+
+
 def fill_counts(rows: DataFrame, *columns: str) -> DataFrame:
     """(field, filled): how many rows have a value other than null, empty and zero, in one pass."""
     some = [F.struct(F.lit(c).alias("field"), F.count_if(F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", "0", "0.0")).alias("filled")) for c in columns]

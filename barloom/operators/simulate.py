@@ -36,7 +36,7 @@ def bootstrap_days(resets: DataFrame, paths: int = 500, horizon: int = 21, block
 def path_returns(drawn: DataFrame, panel: DataFrame, targets: DataFrame) -> DataFrame:
     """(t0, path, ticker, ret): compound return of each target over the drawn sessions; a missing return is flat."""
     moves = panel.where("ret is not null").select(F.col("t").alias("q"), "ticker", "ret")
-    joined = drawn.join(F.broadcast(targets.select("t0", "ticker")), "t0").join(F.broadcast(moves), ["q", "ticker"], "left")
+    joined = drawn.join(targets.select("t0", "ticker"), "t0").join(moves, ["q", "ticker"], "left")
     return joined.groupBy("t0", "path", "ticker").agg(F.expm1(F.coalesce(F.sum("ret"), F.lit(0.0))).alias("ret"))
 
 

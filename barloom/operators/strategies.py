@@ -132,6 +132,25 @@ def ranked(rows: DataFrame) -> DataFrame:
     return wanted.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), "ticker")).cast("long") - 1)
 
 
+# What a score says, in words: a format and the number in it.
+_REASONS: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "momentum": ("rose %.1f%% in the year before the last month", lambda s: 100 * s),
+    "trend": ("gained %.2f times its yearly volatility", lambda s: s),
+    "lowvol": ("moves %.2f%% a day, among the least", lambda s: -100 * s),
+    "reversal": ("fell %.2f volatilities more in a week than the market explains", lambda s: s),
+    "resmom": ("beat the market by %.2f standard errors in the year before the last month", lambda s: s),
+    "high52": ("closes %.1f%% below its highest of a year", lambda s: 100 * (1 - s)),
+    "lowmax": ("gained at most %.2f%% on any day of a month", lambda s: 100 * F.expm1(-s)),
+    "ltrev": ("moved %.1f%% in the three years to a year ago", lambda s: -100 * s),
+}
+
+
+def reason(name: str, score: Column) -> Column:
+    """A sentence on why a strategy wants a ticker, from its score."""
+    text, number = _REASONS[name]
+    return F.format_string(text, number(score))
+
+
 def pool(lists: DataFrame, size: int) -> DataFrame:
     """Candidates of several strategies' lists in turn: rank by rank, each ticker once, at its first place."""
     first = lists.groupBy("t", "ticker").agg(F.min(F.struct("rank", "strategy")).alias("at"))

@@ -50,6 +50,25 @@ def _orders(spark, sf_dir) -> DataFrame:
     return joined.select("o_orderkey", market.alias("m"), F.col("o_totalprice").alias("val"), F.floor(F.col("o_totalprice") / 50).cast("double").alias("sh"), (F.col("o_custkey") % 7 == 0).alias("free"))
 
 
+@register(
+    "commission_tiered",
+    sql.query(
+        _ORDERS,
+        """select o_orderkey, m market, round(case when m = 'FOREX' then greatest(2.0, 2e-5 * val) when m = 'US' then greatest(0.35, 0.0035 * sh) + 0.0005 * sh
+  when m = 'UK' then greatest(1.0, 0.0005 * val) + greatest(0.10, 0.000045 * val) + 0.06 else greatest(3.0, 0.0005 * val) end, 8) + 0.0 com from ords""",
+    ),
+)
+def commission_tiered(spark, sf_dir):
+    own = costs.commission(F.col("m"), F.col("val"), F.col("sh"), tiered=True)
+    return rnd(_orders(spark, sf_dir).select("o_orderkey", F.col("m").alias("market"), own.alias("com")), 8)
+
+
+@register("venue_scaling", "select s_name exchange, round(s_acctbal * 2500 / 10000, 6) + 0.0 amount, 0.0005 rate from supplier")
+def venue_scaling(spark, sf_dir):
+    venues = source.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("exchange"), F.col("s_acctbal").alias("amount"), F.lit(0.0005).alias("rate"))
+    return costs.scaled_venues(venues, 2500.0, 10_000.0).withColumn("amount", F.round("amount", 6) + F.lit(0.0))
+
+
 @register("commission_roundtrip", sql.query(_ORDERS, "select o_orderkey, m market, round(com, 6) + 0.0 com, round(fee, 6) + 0.0 fee, round(tax, 6) + 0.0 tax, round((2 * com + fee) / val + tax, 8) + 0.0 total from com"))
 def commission_roundtrip(spark, sf_dir):
     m, v, s, f = F.col("m"), F.col("val"), F.col("sh"), F.col("free")
@@ -142,6 +161,21 @@ def equity_chart_points(spark, sf_dir):
     return rnd(indicators.chart_points(w))
 
 
+_TICKS = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 10.0, 20.0, 50.0, 100.0)
+
+
+@register("equity_chart_ticks", sql.query(_BT + _WEALTH, f", e as (select min(w) lo, max(w) hi from wl) select m, round((ln(m) - lo) / (hi - lo), 8) + 0.0 y from (values {', '.join(f'({m}::double)' for m in _TICKS)}) x(m), e where ln(m) between lo and hi"))
+def equity_chart_ticks(spark, sf_dir):
+    d = evaluate.daily_returns(backtest(spark, sf_dir), K)
+    w = d.select("u", F.sum(F.log1p("ret")).over(Window.orderBy("u").rowsBetween(Window.unboundedPreceding, 0)).alias("w"))
+    return rnd(indicators.chart_ticks(w, _TICKS))
+
+
+@register("chart_year_starts", sql.query(sql.panel(), 'select distinct on (year(d)) cast(year(d) as int) "label", round(t / (select max(t) from cal), 8) + 0.0 x from cal order by year(d), d'))
+def chart_year_starts(spark, sf_dir):
+    return rnd(indicators.year_starts(panel.sessions(bars(spark, sf_dir))))
+
+
 _TRADES = """, tr0 as (select *, sum(case when was = 0 and now = 1 then 1 else 0 end) over (partition by ticker order by u rows unbounded preceding) n from ch where was = 1 or now = 1),
 trd as (select ticker, min(u) opened, max(case when now = 0 then u end) closed, exp(sum(ln(1 + change))) - 1 ret from tr0 group by ticker, n)"""
 
@@ -277,36 +311,28 @@ sg as (select *, greatest(1, t0 - 749) lo from hh), sb as (select *, lo + (h //
 dr as (select t0, path, b * 5 + i j, least(t0, s + i) q from sb cross join range(5) z(i) where b * 5 + i < 21)"""
 
 
-_RESETS = "select distinct t t0 from ranked where t % 210 = 50"
-
-
-#: The part of the job that the SQL of bootstrap_days, mc_quantiles and mc_calibration covers; their _all forms have every reset and PATHS paths.
-_TENTH, PATHS = "t % 210 = 50", 500
+_RESETS = "select distinct t t0 from ranked"
+PATHS = 500
 
 
-def _resets(spark, sf_dir, which: str = _TENTH) -> DataFrame:
-    return ranking(spark, sf_dir, "momentum").where(which).select(F.col("t").alias("t0")).distinct()
+def _resets(spark, sf_dir) -> DataFrame:
+    return ranking(spark, sf_dir, "momentum").select(F.col("t").alias("t0")).distinct()
 
 
-@register("bootstrap_days", sql.query(_boot(50, _RESETS), "select t0, path, j, q from dr"))
+@register("bootstrap_days", sql.query(_boot(PATHS, _RESETS), "select t0, path, j, q from dr"))
 def bootstrap_days(spark, sf_dir):
-    return simulate.bootstrap_days(_resets(spark, sf_dir), 50)
-
-
-@register("bootstrap_days_all")
-def bootstrap_days_all(spark, sf_dir):
     """Drawn sessions of every reset of the ranking, PATHS paths each."""
-    return simulate.bootstrap_days(_resets(spark, sf_dir, "true"), PATHS)
+    return simulate.bootstrap_days(_resets(spark, sf_dir), PATHS)
 
 
-_MC = _boot(100, _RESETS) + f""", mt as (select t t0, ticker from ranked where rank < {K} and t % 210 = 50),
+_MC = _boot(PATHS, _RESETS) + f""", mt as (select t t0, ticker from ranked where rank < {K}),
 pr as (select dr.t0, path, mt.ticker, exp(coalesce(sum(ret), 0)) - 1 ret from dr join mt using (t0) left join (select t q, ticker, ret from pan) m on m.q = dr.q and m.ticker = mt.ticker group by dr.t0, path, mt.ticker),
 bk as (select t0, path, sum(ret) / {K} ret from pr group by t0, path)"""
 
 
-def _book(spark, sf_dir, which: str = _TENTH, paths: int = 100) -> DataFrame:
-    target = ranking(spark, sf_dir, "momentum").where(F.col("rank") < K).where(which).select(F.col("t").alias("t0"), "ticker")
-    drawn = simulate.bootstrap_days(target.select("t0").distinct(), paths)
+def _book(spark, sf_dir) -> DataFrame:
+    target = ranking(spark, sf_dir, "momentum").where(F.col("rank") < K).select(F.col("t").alias("t0"), "ticker")
+    drawn = simulate.bootstrap_days(target.select("t0").distinct(), PATHS)
     return simulate.book_returns(simulate.path_returns(drawn, panel.log_return(panel.carry_forward(panel.dense(bars(spark, sf_dir)))), target), K)
 
 
@@ -315,11 +341,6 @@ def mc_quantiles(spark, sf_dir):
     return rnd(simulate.quantiles(_book(spark, sf_dir), "t0"))
 
 
-@register("mc_quantiles_all")
-def mc_quantiles_all(spark, sf_dir):
-    return rnd(simulate.quantiles(_book(spark, sf_dir, "true", PATHS), "t0"))
-
-
 @register(
     "mc_calibration",
     sql.query(
@@ -330,21 +351,12 @@ ag as (select t0, any_value(rr) rr, avg(ret) mean, quantile_cont(ret, 0.05) p5,
     ),
 )
 def mc_calibration(spark, sf_dir):
-    return _calibration(spark, sf_dir, _TENTH, 100)
-
-
-@register("mc_calibration_all")
-def mc_calibration_all(spark, sf_dir):
-    return _calibration(spark, sf_dir, "true", PATHS)
-
-
-def _calibration(spark, sf_dir, which: str, paths: int) -> DataFrame:
     p = universe(spark, sf_dir)
     nxt = F.lead("cf", 21).over(panel.by())
     moves = p.select("t", "ticker", F.when((nxt > 0) & (F.col("cf") > 0), nxt / F.col("cf") - 1).otherwise(0.0).alias("x"))
-    target = ranking(spark, sf_dir, "momentum").where(F.col("rank") < K).where(which).select("t", "ticker")
+    target = ranking(spark, sf_dir, "momentum").where(F.col("rank") < K).select("t", "ticker")
     real = moves.join(target, ["t", "ticker"]).groupBy(F.col("t").alias("t0")).agg((F.sum("x") / K).alias("real"))
-    out = simulate.calibration(_book(spark, sf_dir, which, paths), real)
+    out = simulate.calibration(_book(spark, sf_dir), real)
     return rnd(out.withColumn("correlation", F.round("correlation", 6)))
 
 
@@ -356,7 +368,15 @@ def bollinger(spark, sf_dir):
     return rnd(indicators.bollinger(bars(spark, sf_dir)), 6)
 
 
-@register("parabolic_sar")
+_SAR = """, b as (select ticker, d, h, l, row_number() over w i, lag(l) over w l1, lag(h) over w h1, coalesce(lag(l, 2) over w, lag(l) over w) l2, coalesce(lag(h, 2) over w, lag(h) over w) h2 from bars window w as (partition by ticker order by d)),
+z as (select ticker, d, i, true rising, l sar, h ep, 0.02::double af from b where i = 1
+  union all select ticker, d, i, case when turn then not up else up end, case when turn then ep else lim end, case when turn then case when up then l else h end when up then greatest(ep, h) else least(ep, l) end,
+    case when turn then 0.02 when up and h > ep or not up and l < ep then least(0.2, af + 0.02) else af end
+  from (select b.*, z.rising up, z.ep, z.af, lim, case when z.rising then b.l <= lim else b.h >= lim end turn from z join b on b.ticker = z.ticker and b.i = z.i + 1,
+    lateral (select case when z.rising then least(z.sar + z.af * (z.ep - z.sar), b.l1, b.l2) else greatest(z.sar + z.af * (z.ep - z.sar), b.h1, b.h2) end lim)))"""
+
+
+@register("parabolic_sar", sql.query("recursive " + sql.bars(), _SAR + " select ticker, d, round(sar, 6) + 0.0 sar, rising from z"))
 def parabolic_sar(spark, sf_dir):
     return rnd(indicators.parabolic_sar(bars(spark, sf_dir)), 6)
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions import scalars
-from barloom.operators import clean, ingest, reports
+from barloom.operators import clean, ingest, reports, strategies
 from barloom.plans import sql
 from barloom.plans.evaluation_queries import _BT, _TRADES, backtest, closed_trades
 from barloom.plans.panel_queries import bars, ranking, register, rnd
@@ -25,7 +24,7 @@ def scalar_functions(spark, sf_dir):
     )
 
 
-@register("utf8_prefix")
+@register("utf8_prefix", "select doc_id, strlen(x) n, x from (select doc_id, left(text, k) x from (select doc_id, text, (select max(k) from range(0, 31) r(k) where strlen(left(text, k)) <= 30) k from documents))")
 def utf8_prefix(spark, sf_dir):
     d = source.table(spark, sf_dir, "documents").select("doc_id", scalars.first_bytes(F.col("text"), 30).alias("x"))
     return d.select("doc_id", F.octet_length("x").cast("long").alias("n"), "x")
@@ -174,7 +173,7 @@ def trade_states(spark, sf_dir):
 @register("stream_selection", sql.query(sql.scored("momentum"), ", l as (select max(t) m from ranked), o as (select ticker, rank, 0 late from ranked, l where t = m and rank between 3 and 5 union all select ticker, rank, 1 from ranked, l where t = m), f as (select ticker, min(struct_pack(late := late, rank := rank)) at_ from o group by ticker) select ticker, at_.late as late, at_.rank as rank from f order by at_, ticker limit 8"))
 def stream_selection(spark, sf_dir):
     r = ranking(spark, sf_dir, "momentum")
-    last = r.withColumn("m", F.max("t").over(Window.partitionBy(F.lit(1)))).where("t = m")
+    last = r.join(F.broadcast(r.agg(F.max("t").alias("t"))), "t")
     return ingest.selected(last.where("rank between 3 and 5"), last, 8)
 
 
@@ -194,17 +193,79 @@ def orders_by_stop_distance(spark, sf_dir):
 @register("next_session_updates", sql.query(_BT, "select ticker, bool_or(k) keep from (select ticker, true k from ranked where t = (select max(t) from ranked) and rank < 5 union all select ticker, false from (select ticker, max(u) last_held from ch where now = 1 group by ticker) where last_held >= 2200) group by ticker"))
 def next_session_updates(spark, sf_dir):
     r = ranking(spark, sf_dir, "momentum")
-    target = r.withColumn("m", F.max("t").over(Window.partitionBy(F.lit(1)))).where("t = m and rank < 5")
+    target = r.join(F.broadcast(r.agg(F.max("t").alias("t"))), "t").where("rank < 5")
     flow = backtest(spark, sf_dir).where("change is not null and exit is null").groupBy("ticker").agg(F.max("u").alias("last_held"))
     return ingest.updates(target, flow, 2460, 260)
 
 
-@register("momentum_reasons", sql.query(sql.scored("momentum"), "select t, ticker, 'rose ' || printf('%.1f', 100 * round(score, 6)) || '% in the year before the last month' reason from ranked where rank < 3"))
-def momentum_reasons(spark, sf_dir):
-    top = ranking(spark, sf_dir, "momentum").where("rank < 3")
-    return top.select("t", "ticker", F.format_string("rose %.1f%% in the year before the last month", 100 * F.round("score", 6)).alias("reason"))
+_SAID = {
+    "momentum": "printf('rose %.1f%% in the year before the last month', 100 * score)",
+    "trend": "printf('gained %.2f times its yearly volatility', score)",
+    "lowvol": "printf('moves %.2f%% a day, among the least', -100 * score)",
+    "reversal": "printf('fell %.2f volatilities more in a week than the market explains', score)",
+    "resmom": "printf('beat the market by %.2f standard errors in the year before the last month', score)",
+    "high52": "printf('closes %.1f%% below its highest of a year', 100 * (1 - score))",
+    "lowmax": "printf('gained at most %.2f%% on any day of a month', 100 * (exp(-score) - 1))",
+    "ltrev": "printf('moved %.1f%% in the three years to a year ago', -100 * score)",
+}
 
 
+def _reasons(name: str) -> None:
+    @register(f"{name}_reasons", sql.query(sql.scored(name), f"select t, ticker, {_SAID[name]} reason from ranked where rank < 3"))
+    def reasons(spark, sf_dir):
+        top = ranking(spark, sf_dir, name).where("rank < 3")
+        return top.select("t", "ticker", strategies.reason(name, F.col("score")).alias("reason"))
+
+
+for _name in _SAID:
+    _reasons(_name)
+
+
+@register("fx_cross_rates", sql.query(sql.bars("p_type"), """, r as (select ticker, round(last(c order by d), 6) c from bars where ticker in ('ECONOMY', 'LARGE', 'MEDIUM') group by ticker),
+g as (select max(case when ticker = 'ECONOMY' then c end) g, max(case when ticker = 'LARGE' then c end) d, max(case when ticker = 'MEDIUM' then c end) a from r)
+select 'EUR' currency, 1.0::double rate union all select 'GBP', g from g union all select 'USD', round(g * d, 6) from g union all select 'AUD', a from g"""))
+def fx_cross_rates(spark, sf_dir):
+    b = source.bars(spark, sf_dir, "p_type")
+    pair = F.create_map(*(F.lit(x) for kv in (("ECONOMY", "EURGBP"), ("LARGE", "GBPUSD"), ("MEDIUM", "EURAUD")) for x in kv))[F.col("ticker")]
+    last = b.groupBy(pair.alias("pair")).agg(F.round(F.max_by("c", "d"), 6).alias("rate"))
+    return rnd(ingest.cross_rates(last), 6)
+
+
+@register("distinct_segments", "select c_nationkey, count(*) n, count(distinct nullif(c_mktsegment, '')) c_mktsegment, count(distinct nullif(c_name, '')) c_name from customer group by c_nationkey")
+def distinct_segments(spark, sf_dir):
+    return ingest.distinct_values(source.table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", "c_name")
+
+
+_JOBS = "select c_custkey job, c_custkey * 7 % 1440 \"at\", case when c_custkey % 3 > 0 then 100 - c_custkey % 3 // 2 end done_day, c_nationkey % 5 tries, 600 + c_custkey % 120 last_try from customer"
+
+
+@register("jobs_due", f"""with j as ({_JOBS}) select job, "at", tries from j where "at" <= 700 and coalesce(done_day, -1) < 100 and (tries = 0 or tries < 3 and last_try + 10 <= 700)""")
+def jobs_due(spark, sf_dir):
+    c = source.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    jobs = c.select(k.alias("job"), (k * 7 % 1440).alias("at"), F.when(k % 3 > 0, 100 - F.floor(k % 3 / 2)).alias("done_day"), (F.col("c_nationkey") % 5).alias("tries"), (600 + k % 120).alias("last_try"))
+    return ingest.due(jobs, 100, 700).select("job", "at", "tries")
+
+
+@register(
+    "broker_history",
+    """with x as (select 'C' || cast(o_custkey % 3 as varchar) currency, cast(o_orderdate as date) "day", o_orderstatus = 'F' filled, case when o_orderkey % 4 > 0 then o_orderstatus <> 'P' end mf, (o_totalprice % 100 - 50) / 1000 ret, o_totalprice % 1000 - 480 pnl,
+  100 + o_totalprice % 7 mp, (100 + o_totalprice % 5) * case o_orderkey % 3 when 0 then 1 when 1 then 100 else 0.01 end paid, (o_totalprice % 90 - 45) / 1000 mr from orders),
+g as (select *, case when filled and mf then paid / mp end r from x),
+u as (select *, case when r is not null then r / case when abs(ln(r)) <= abs(ln(r / 0.01)) and abs(ln(r)) <= abs(ln(r / 100)) then 1 when abs(ln(r / 0.01)) <= abs(ln(r / 100)) then 0.01 else 100 end - 1 end gap from g)
+select currency, "day", count(*) orders, count(*) filter (where filled) bought, count(*) filter (where filled and ret > 0) wins, round(sum(case when filled then pnl else 0 end), 4) + 0.0 pnl, count(*) filter (where mf is not null) checked,
+  count(*) filter (where mf is not null and filled = mf) agree, round(avg(gap), 8) + 0.0 gap, round(avg(case when filled and mf then ret end), 8) + 0.0 ret, round(avg(case when filled and mf then mr end), 8) + 0.0 model_ret from u group by "day", currency""",
+)
+def broker_history(spark, sf_dir):
+    o, price = source.table(spark, sf_dir, "orders"), F.col("o_totalprice")
+    unit = F.when(F.col("o_orderkey") % 3 == 0, 1.0).when(F.col("o_orderkey") % 3 == 1, 100.0).otherwise(0.01)
+    rows = o.select(
+        F.concat(F.lit("C"), (F.col("o_custkey") % 3).cast("string")).alias("currency"), F.to_date("o_orderdate").alias("day"), (F.col("o_orderstatus") == "F").alias("filled"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderstatus") != "P").alias("model_filled"),
+        ((price % 100 - 50) / 1000).alias("ret"), (price % 1000 - 480).alias("pnl"), (100 + price % 7).alias("entry"), ((100 + price % 5) * unit).alias("paid"), ((price % 90 - 45) / 1000).alias("model_ret"),
+    )
+    out = reports.broker_history(rows, "currency", "day")
+    return rnd(out.withColumn("pnl", F.round("pnl", 4)))
+
 
 @register("order_results", sql.query(_BT + _TRADES, ", od as (select opened, avg(case when ticker <> 'Brand#11' then ret else 0 end) m, count(*) n, count(*) filter (where ticker <> 'Brand#11') f from trd group by opened) select round(avg(m), 8) + 0.0 daily, round(power(1 + avg(m), 252) - 1, 6) + 0.0 annual, round(avg(n), 8) orders, round(sum(f) / sum(n), 8) fill from od"))
 def order_results(spark, sf_dir):

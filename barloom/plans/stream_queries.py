@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import backtest, models, montecarlo, neural, panel, reports
 from barloom.plans import sql
+from barloom.plans.catalog import ORACLE
 from barloom.plans.evaluation_queries import daily_by_k, order_list_net
 from barloom.plans.panel_queries import bars, ranking, register, rnd, universe
 from barloom.sources import bars as source
@@ -42,17 +43,76 @@ def stream_dedupe(spark, sf_dir):
     return events.drained(once).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@register("stream_trailing_stops")
-def stream_trailing_stops(spark, sf_dir):
+def _stateful(spark, make):
+    """Runs a stream with state in the store that its operators need."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return events.drained(events.trailing_stops(_stream(spark, sf_dir)))
+        return events.drained(make())
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
+_BY_USER = "with recursive e as (select *, row_number() over (partition by user_id order by ts, event_id) i from events)"
+
+
+@register(
+    "stream_trailing_stops",
+    f"""{_BY_USER}, z as (select user_id, i, event_id, value v, value high, null::double was from e where i = 1
+  union all select e.user_id, e.i, e.event_id, e.value, case when z.high is not null and e.value <= z.high * 0.5 then null else greatest(coalesce(z.high, e.value), e.value) end, case when z.high is not null and e.value <= z.high * 0.5 then z.high end from z join e on e.user_id = z.user_id and e.i = z.i + 1)
+select user_id, event_id, was high, v price from z where was is not null""",
+)
+def stream_trailing_stops(spark, sf_dir):
+    return _stateful(spark, lambda: events.trailing_stops(_stream(spark, sf_dir)))
+
+
+_GUARD_SQL = f"""{_BY_USER}, g as (select e.*, mode from e cross join (values ('fixed'), ('trail'), ('breakeven')) m(mode)),
+z as (select user_id, mode, i, event_id, value v, case when event_type = 'purchase' then 1 else 0 end n, value entry, value high, null::varchar why, null::double paid from g where i = 1
+  union all select user_id, mode, i, event_id, v, case when buy then n + 1 when why is not null then 0 else n end, case when buy then (entry * n + v) / (n + 1) else entry end, case when buy and n = 0 then v else greatest(high, v) end, why, case when why is not null then entry end
+  from (select g.user_id, g.mode, g.i, g.event_id, g.value v, g.event_type = 'purchase' buy, z.n, z.entry, z.high,
+    case when g.event_type = 'purchase' or z.n = 0 then null when g.value <= case z.mode when 'fixed' then z.entry * 0.6 when 'trail' then z.high * 0.6 when 'breakeven' then case when z.high >= z.entry * 1.25 then z.entry else z.entry * 0.6 end end then 'stop' when g.value >= z.entry * 2.0 then 'take' end why
+    from z join g on g.user_id = z.user_id and g.mode = z.mode and g.i = z.i + 1))
+select user_id, mode, event_id, why, round(paid, 6) + 0.0 entry, v price from z where why is not null"""
+
+
+@register("stream_guarded_positions", _GUARD_SQL)
+def stream_guarded_positions(spark, sf_dir):
+    """Positions of each user's purchases under a fixed, a trailing and a break-even stop, with a take-profit."""
+    rows = _stateful(spark, lambda: events.guarded(_stream(spark, sf_dir), "purchase", stop=0.4, take=1.0, breakeven=0.25))
+    return rows.withColumn("entry", F.round("entry", 6) + F.lit(0.0))
+
+
+@register(
+    "stream_slots_cap",
+    """with e as (select *, cast(ts as date) "day" from events), f as (select "day", user_id, min(struct_pack(ts := ts, id := event_id)) at_ from e where event_type = 'purchase' group by all),
+r as (select "day", user_id, at_, row_number() over (partition by "day" order by at_) n from f), full_at as (select "day", at_ from r where n = 20),
+o as (select "day", user_id, min(struct_pack(ts := ts, id := event_id)) at_ from e where event_type = 'click' group by all)
+select o."day", o.user_id from o join full_at u on u."day" = o."day" and o.at_ < u.at_ left join f on f."day" = o."day" and f.user_id = o.user_id and f.at_ <= u.at_ where f.user_id is null""",
+)
+def stream_slots_cap(spark, sf_dir):
+    """Orders (clicks) still open when the day's twentieth user has bought (purchase) are cancelled."""
+    return _stateful(spark, lambda: events.slots_cap(_stream(spark, sf_dir), 20, order="click", fill="purchase"))
+
+
+_HOLD_SQL = f"""{_BY_USER}, z as (select user_id, i, event_id, value v, case when event_type = 'signup' then 'pending' else 'none' end state, 0.0::double entry, 0 closes, 0.0::double stop, 'none' was, case when event_type = 'signup' then 'placed' end why from e where i = 1
+  union all select user_id, i, event_id, v, case why when 'placed' then 'pending' when 'filled' then 'held' when 'bought back' then 'held' when 'stop' then 'stopped' when 'unfilled' then 'none' when 'strength' then 'none' when 'last close' then 'none' when 'dropped' then 'none' else state end,
+    case when why in ('filled', 'bought back') then v else entry end, case when why in ('filled', 'bought back') then 0 when k = 'view' and state = 'held' then closes + 1 else closes end, case when why in ('filled', 'bought back') then v * 0.7 else stop end, state, why
+  from (select e.user_id, e.i, e.event_id, e.value v, e.event_type k, z.state, z.entry, z.closes, z.stop,
+    case when z.state = 'none' and e.event_type = 'signup' then 'placed' when z.state = 'pending' and e.event_type = 'purchase' then 'filled' when z.state = 'pending' and e.event_type = 'view' then 'unfilled'
+      when z.state = 'held' and e.event_type in ('error', 'click') and e.value <= z.stop then 'stop' when z.state = 'held' and e.event_type = 'view' and z.closes + 1 >= 5 then 'last close' when z.state = 'held' and e.event_type = 'view' and e.value >= z.entry * 1.5 then 'strength'
+      when z.state = 'stopped' and e.event_type in ('error', 'click') and e.value >= z.stop * 1.1 then 'bought back' when z.state = 'stopped' and e.event_type = 'signup' then 'dropped' end why
+    from z join e on e.user_id = z.user_id and e.i = z.i + 1))
+select user_id, event_id, was, state, why, v price from z where why is not null"""
+
+
+@register("stream_holds", _HOLD_SQL)
+def stream_holds(spark, sf_dir):
+    """Positions over several days: signup places an order, purchase fills it, view is a close, error and click are prices."""
+    kinds = {"signup": "order", "purchase": "fill", "view": "close", "error": "price", "click": "price"}
+    return _stateful(spark, lambda: events.holds(_stream(spark, sf_dir), kinds, stop=0.3, strength=0.5, back=0.1, closes=5))
+
+
 @register("session_windows", """with g as (select *, case when ts - lag(ts) over w >= interval 6 hours or lag(ts) over w is null then 1 else 0 end z from events window w as (partition by user_id order by ts, event_id)),
 s as (select *, sum(z) over (partition by user_id order by ts, event_id rows unbounded preceding) i from g) select user_id, min(ts) "start", count(*) n, round(sum(value), 6) + 0.0 total from s group by user_id, i""")
 def session_windows(spark, sf_dir):
@@ -161,9 +221,33 @@ def track_record(spark, sf_dir):
     return rnd(rows.groupBy("ticker").agg(F.count("*").alias("n"), F.expm1(F.sum(F.log(F.col("c") / F.col("p")))).alias("total")))
 
 
-@register("order_report_json")
+_WHOLE = ORACLE["order_list_net"]
+
+
+def _in_parts(spark, sf_dir):
+    """The order list with its shares as whole hundred-millionths, which every engine writes alike."""
+    parts = lambda c: F.round(F.col(c) * 1e8).cast("long").alias(c)
+    return order_list_net(spark, sf_dir).select("t", "place", "ticker", parts("gross"), parts("cost"))
+
+
+_PART = "struct_pack(place := place, ticker := ticker, gross := cast(round(gross * 1e8) as bigint), cost := cast(round(cost * 1e8) as bigint))"
+
+
+@register("order_report_json", f"select t, cast(to_json(struct_pack(n := count(*), orders := list({_PART} order by place))) as varchar) report from ({_WHOLE}) group by t")
 def order_report_json(spark, sf_dir):
-    return reports.report_json(order_list_net(spark, sf_dir))
+    return reports.report_json(_in_parts(spark, sf_dir))
+
+
+@register("order_book_json", f"""with b as ({_WHOLE}), u as (select t, list(struct_pack(ticker := ticker, keep := place % 2 = 0) order by ticker) u from b where t % 2 = 0 group by t)
+select t, cast(to_json(struct_pack(orders := o, updates := coalesce(u, []))) as varchar) book from (select t, list({_PART} order by place) o from b group by t) left join u using (t)""")
+def order_book_json(spark, sf_dir):
+    rows = _in_parts(spark, sf_dir)
+    return reports.book_json(rows, rows.where("t % 2 = 0").select("t", "ticker", (F.col("place") % 2 == 0).alias("keep")))
+
+
+@register("order_report_text", f"select t, count(*) || ' orders' || chr(10) || string_agg(printf('%d. %s, expected %.2f%%, costs %.2f%%', place + 1, ticker, 100 * gross, 100 * cost), chr(10) order by place) report from ({_WHOLE}) group by t")
+def order_report_text(spark, sf_dir):
+    return reports.report_text(order_list_net(spark, sf_dir))
 
 
 RUNS = {
@@ -197,9 +281,31 @@ def regimes(spark, sf_dir):
     return models.regimes(market, ranking(spark, sf_dir, "momentum").select(F.col("t").alias("t0")).distinct())
 
 
-@register("nn_samples")
+def _clamped(column: str, low: float, high: float) -> str:
+    return f"least({high}, greatest({low}, coalesce({column}, 0)))"
+
+
+_INPUTS = [
+    *(f"coalesce(case when {c} is not null and count({c}) over (partition by t) > 1 then (row_number() over (partition by t order by {c} nulls last, ticker) - 1) / (count({c}) over (partition by t) - 1) - 0.5 end, 0)" for c in neural.RANKED),
+    *(_clamped(*c) for c in (("mkt12", -1.0, 1.0), ("mktvol * 10", 0.0, 1.0), ("m12", -1.0, 1.0), ("m1", -0.5, 0.5), ("w1", -0.3, 0.3), ("high", -1.0, 0.0), ("sigma * 10", 0.0, 1.0))),
+    "1.0",
+]
+
+
+@register(
+    "nn_samples",
+    sql.query(
+        sql.universe(),
+        f""", nf as (select t, ticker, tradable, value, sigma, {sql.change(252, 21)} m12, {sql.change(126, 21)} m6, {sql.change(21)} m1, {sql.change(5)} w1, stddev_pop(ret) {sql.back(63)} vol63, stddev_pop(ret) {sql.back(252)} vol252,
+  cf / max(cf) {sql.back(252)} - 1 high, sum(mkt) {sql.back(252)} mkt12, stddev_pop(mkt) {sql.back(63)} mktvol, ln(lead(cf, 21) over w / cf) y from pan window w as {sql.BY}), ok as (select * from nf where tradable and t >= 260 and (t - 260) % 21 = 0)
+select t, ticker, t + 21 ready, round(y, 6) + 0.0 y, round(sigma, 6) + 0.0 sigma, {', '.join(f'round(cast(cast({e} as float) as double), 4) + 0.0 x{i}' for i, e in enumerate(_INPUTS))} from ok""",
+    ),
+)
 def nn_samples(spark, sf_dir):
-    return neural.samples(panel.with_market(universe(spark, sf_dir)))
+    rows = neural.samples(panel.with_market(universe(spark, sf_dir)))
+    number = lambda c, n: F.round(F.col(c).cast("double") if isinstance(c, str) else c.cast("double"), n) + F.lit(0.0)
+    inputs = [number(F.col("x")[i], 4).alias(f"x{i}") for i in range(len(_INPUTS))]
+    return rows.select("t", "ticker", "ready", number("y", 6).alias("y"), number("sigma", 6).alias("sigma"), *inputs)
 
 
 @register("nn_walk_forward")

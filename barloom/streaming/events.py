@@ -76,6 +76,131 @@ def trailing_stops(events: DataFrame, share: float = 0.5) -> DataFrame:
     return rows.groupBy("user_id").transformWithStateInPandas(Trailing(share), "user_id long, event_id long, high double, price double", "Append", "None")
 
 
+class Steps(StatefulProcessor):
+    """A state machine a key: ``step`` takes the state (a tuple, or None at first) and a row, and gives the next state and a record or None.
+
+    Rows of a key come by ``ts`` and ``event_id``; a state of None is forgotten.
+    """
+
+    def __init__(self, step: Callable, state: str, columns: list[str]) -> None:
+        self.step, self.state, self.columns = step, state, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", self.state)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.now.get()) if self.now.exists() else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            state, record = self.step(state, r)
+            if record is not None:
+                out += [(*key, *x) for x in record] if isinstance(record, list) else [(*key, *record)]
+        if state is None:
+            self.now.clear()
+        else:
+            self.now.update(state)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _steps(rows: DataFrame, by: list[str], step: Callable, state: str, out: str) -> DataFrame:
+    names = [c.split()[0] for c in out.split(", ")]
+    return rows.groupBy(*by).transformWithStateInPandas(Steps(step, state, names), out, "Append", "None")
+
+
+def guard(kind: str, fill: str, stop: float, take: float, breakeven: float) -> Callable:
+    """The step of a guarded position: (shares, mean entry, highest price since); ``kind`` is fixed, trail or breakeven.
+
+    Every fill adds a share, and its levels follow from the mean price paid. A fixed stop lies ``stop`` below the entry,
+    a trailing one below the highest price; a break-even stop moves to the entry once the price was ``breakeven`` above it.
+    """
+
+    def step(state, r):
+        n, entry, high = state or (0, 0.0, 0.0)
+        if r.event_type == fill:
+            return (n + 1, (entry * n + r.value) / (n + 1), max(high, r.value) if n else r.value), None
+        if not n:
+            return state, None
+        line = high * (1 - stop) if kind == "trail" else entry if kind == "breakeven" and high >= entry * (1 + breakeven) else entry * (1 - stop)
+        why = "stop" if r.value <= line else "take" if r.value >= entry * (1 + take) else None
+        return (None, (r.event_id, why, entry, r.value)) if why else ((n, entry, max(high, r.value)), None)
+
+    return step
+
+
+def guarded(events: DataFrame, fill: str, stop: float, take: float, breakeven: float) -> DataFrame:
+    """(user_id, mode, event_id, why, entry, price) of every sale, for each of the three kinds of stop."""
+    kinds = {k: guard(k, fill, stop, take, breakeven) for k in ("fixed", "trail", "breakeven")}
+    rows = events.select("user_id", "event_id", "ts", "event_type", "value", F.explode(F.array(*map(F.lit, kinds))).alias("mode"))
+    step = lambda state, r: kinds[r.mode](state, r)
+    return _steps(rows, ["user_id", "mode"], step, "n long, entry double, high double", "user_id long, mode string, event_id long, why string, entry double, price double")
+
+
+def slots_cap(events: DataFrame, slots: int, order: str, fill: str) -> DataFrame:
+    """(day, user_id) of the orders that are still open when ``slots`` users have bought on a day: these are cancelled.
+
+    The state of a day holds the users that ordered or bought on it; nothing happens after the day is full.
+    """
+
+    def step(state, r):
+        opened, bought, full = state or ([], [], False)
+        opened, bought = list(opened), list(bought)
+        if full:
+            return ([], [], True), None
+        if r.event_type == order and r.user_id not in opened:
+            opened.append(r.user_id)
+        elif r.event_type == fill and r.user_id not in bought:
+            bought.append(r.user_id)
+            if len(bought) >= slots:
+                return ([], [], True), [(u,) for u in opened if u not in bought]
+        return (opened, bought, False), None
+
+    rows = events.select(F.to_date("ts").alias("day"), "user_id", "event_id", "ts", "event_type").where(F.col("event_type").isin(order, fill))
+    return _steps(rows, ["day"], step, "opened array<long>, bought array<long>, full boolean", "day date, user_id long")
+
+
+def hold(kinds: dict[str, str], stop: float, strength: float, back: float, closes: int) -> Callable:
+    """The step of a position over several days: (state, entry, closes so far, stop).
+
+    An order is pending until it is filled, and gone at the first close if it isn't. A held share is sold by its stop,
+    at a close ``strength`` above its entry, or at its last close; stopped, it is bought back once the price is ``back``
+    above the stop, unless a new order drops it.
+    """
+
+    def step(state, r):
+        was, entry, done, line = state or ("none", 0.0, 0, 0.0)
+        kind, price = kinds.get(r.event_type), r.value
+        now, why = was, None
+        if was == "none" and kind == "order":
+            now, why = "pending", "placed"
+        elif was == "pending" and kind in ("fill", "close"):
+            now, why = ("held", "filled") if kind == "fill" else ("none", "unfilled")
+        elif was == "held" and kind == "price" and price <= line:
+            now, why = "stopped", "stop"
+        elif was == "held" and kind == "close":
+            done += 1
+            if done >= closes or price >= entry * (1 + strength):
+                now, why = "none", "last close" if done >= closes else "strength"
+        elif was == "stopped" and kind == "price" and price >= line * (1 + back):
+            now, why = "held", "bought back"
+        elif was == "stopped" and kind == "order":
+            now, why = "none", "dropped"
+        if why in ("filled", "bought back"):
+            entry, done, line = price, 0, price * (1 - stop)
+        return (now, entry, done, line), (r.event_id, was, now, why, price) if why else None
+
+    return step
+
+
+def holds(events: DataFrame, kinds: dict[str, str], stop: float, strength: float, back: float, closes: int) -> DataFrame:
+    """(user_id, event_id, was, state, why, price) of every change of a user's position; ``kinds`` says what an event type is."""
+    rows = events.select("user_id", "event_id", "ts", "event_type", "value")
+    out = "user_id long, event_id long, was string, state string, why string, price double"
+    return _steps(rows, ["user_id"], hold(kinds, stop, strength, back, closes), "state string, entry double, closes long, stop double", out)
+
+
 def drained(stream: DataFrame, mode: str = "append", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All that a stream gives for the input there is, as a table: it runs until the input is used up, then ends."""
     name = f"t{uuid.uuid4().hex}"

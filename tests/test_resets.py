@@ -16,7 +16,7 @@ def resets(spark):
 
 
 def test_every_reset_is_drawn_as_by_hand(spark, resets):
-    got = E.bootstrap_days_all(spark, SF).toPandas()
+    got = E.bootstrap_days(spark, SF).toPandas()
     assert set(got["t0"]) == resets and len(got) == len(resets) * 500 * 21
     m = 2**31
     for t0, path in ((min(resets), 0), (max(resets), 499)):
@@ -32,12 +32,12 @@ def test_every_reset_is_drawn_as_by_hand(spark, resets):
 
 
 def test_quantiles_and_calibration_have_every_reset(spark, resets):
-    book = E._book(spark, SF, "true", E.PATHS).toPandas()
-    got = E.mc_quantiles_all(spark, SF).toPandas().set_index("t0")
+    book = E._book(spark, SF).toPandas()
+    got = E.mc_quantiles(spark, SF).toPandas().set_index("t0")
     assert set(got.index) == resets and (book.groupby("t0").size() == 500).all()
     for t0, own in book.groupby("t0")["ret"]:
         assert got.loc[t0, ["p5", "p50", "p95"]].tolist() == pytest.approx(np.quantile(own, [0.05, 0.5, 0.95]).tolist(), abs=1e-7)
-    assert E.mc_calibration_all(spark, SF).first().resets == len(resets)
+    assert E.mc_calibration(spark, SF).first().resets == len(resets)
 
 
 def test_stops_have_every_reset(spark, resets):
