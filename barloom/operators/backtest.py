@@ -32,6 +32,7 @@ class Settings:
     rebuy: float = -1.0
     rebuystop: float = 0.0
     refill: bool = False
+    stopmedian: bool = False
 
 
 @dataclass
@@ -71,6 +72,7 @@ class Book:
     open: dict[str, Position] = field(default_factory=dict)
     stopped: dict[str, Stopped] = field(default_factory=dict)
     trades: list[tuple] = field(default_factory=list)
+    orders: list[tuple] = field(default_factory=list)
 
 
 def _ok(x: float) -> bool:
@@ -190,19 +192,53 @@ class Run:
         cf = self.value("cf", t, ticker)
         return _ok(cf) and cf >= st.level * (1 + s.rebuy)
 
-    def _buy(self, ticker: str, u: int, price: float, rank: int) -> float:
+    def _buy(self, ticker: str, u: int, price: float, rank: int, within: bool = False, after_stop: bool = False) -> float:
+        """Opens a position. Bought ``within`` the day, a stop that day sells at its level; bought back ``after_stop`` on that day, none does."""
         cf = self.value("cf", u, ticker)
         p = Position(price, cf if _ok(cf) else price, u, rank)
         self._arm(p, ticker, u)
         self.book.open[ticker] = p
         self.book.stopped.pop(ticker, None)
-        sold = self._stopped_at(p, ticker, u)
+        line = p.sure if self.s.vstop else p.level
+        sold = None if after_stop else self._stopped_at(p, ticker, u)
         if sold is not None:
+            sold = line if within else sold
             p.mark = price
             self._forget_or_remember(ticker, p, u)
             return self._sell(ticker, u, sold, "stop")
         return p.mark / price - 1
 
+    def _trigger(self, ticker: str) -> float:
+        return self.book.stopped[ticker].level * (1 + self.s.rebuystop)
+
+    def _back_today(self, ticker: str, u: int, target: list[str]) -> float:
+        """A ticker that was stopped today and closed over its buy-back's trigger is bought there after the stop."""
+        cf = self.value("cf", u, ticker)
+        if not (self.s.rebuystop and ticker in self.book.stopped and ticker not in self.book.open and _ok(cf) and cf >= self._trigger(ticker)):
+            return 0.0
+        price, rank = self._trigger(ticker), target.index(ticker) if ticker in target else len(target)
+        self._log(u - 1, ticker, rank, price, price)
+        return self._buy(ticker, u, price, rank, after_stop=True)
+
+    def _log(self, t: int, ticker: str, rank: int, limit: float, entry: float | None) -> None:
+        self.book.orders.append((ticker, rank, t, limit, entry is not None, entry))
+
+    def _distance(self, t: int, ticker: str) -> float:
+        """How far under the last close the stop of a new position would start."""
+        cf, s = self.value("cf", t, ticker), self.s
+        if not _ok(cf) or not (s.stop or s.psar or s.psarvol or s.vstop):
+            return 0.0
+        p = Position(cf, cf, t + 1, 0)
+        self._arm(p, ticker, t + 1)
+        return 1 - p.level / cf if p.level > 0 else 0.0
+
+    def _widest(self, t: int, tickers: list[str]) -> float:
+        """The upper median of the candidates' distances, which a new position's may not exceed; no limit without ``stopmedian``."""
+        if not self.s.stopmedian or not tickers:
+            return float("inf")
+        found = sorted(self._distance(t, x) for x in tickers)
+        return found[len(found) // 2]
+
     # ---- days
 
     def day(self, t: int, target: list[str], reserve: list[str]) -> float:
@@ -219,6 +255,7 @@ class Run:
             elif (price := self._stopped_at(p, ticker, u)) is not None:
                 self._forget_or_remember(ticker, p, u)
                 total += self._sell(ticker, u, price, "stop")
+                total += self._back_today(ticker, u, target)
             else:
                 cf = self.value("cf", u, ticker)
                 if _ok(cf):
@@ -229,23 +266,33 @@ class Run:
         for ticker in [x for x in book.stopped if x not in keep]:
             del book.stopped[ticker]
         if s.rebuystop:
-            for ticker in sorted(book.stopped):
-                st = book.stopped[ticker]
-                trigger = st.level * (1 + s.rebuystop)
-                o, h = self.value("o", u, ticker), self.value("h", u, ticker)
-                if len(book.open) < s.k and st.day < u and _ok(o) and (o >= trigger or h >= trigger):
-                    total += self._buy(ticker, u, max(o, trigger), (target + reserve).index(ticker))
-        free = s.k - len(book.open)
+            for ticker in sorted(x for x, st in book.stopped.items() if st.day < u):
+                if len(book.open) >= s.k:
+                    break
+                trigger, o, h = self._trigger(ticker), self.value("o", u, ticker), self.value("h", u, ticker)
+                if _ok(o) and o >= trigger or _ok(h) and h >= trigger:
+                    at_open = _ok(o) and o >= trigger
+                    price, rank = o if at_open else trigger, target.index(ticker) if ticker in target else len(target)
+                    self._log(t, ticker, rank, price, price)
+                    total += self._buy(ticker, u, price, rank, within=not at_open)
+        free, again = s.k - len(book.open), []
+        widest = self._widest(t, target + reserve)
         for rank, ticker in enumerate(target + (reserve if s.refill else [])):
             if free <= 0:
                 break
-            if ticker in book.open or not self._may_buy(ticker, t):
+            if ticker in book.open or not self._may_buy(ticker, t) or self._distance(t, ticker) > widest:
                 continue
             sigma, cf, o = self.value("sigma", t, ticker), self.value("cf", t, ticker), self.value("o", u, ticker)
             limit = cf * (1 + min(s.capmax, s.capsd * (sigma if _ok(sigma) else 0.02)))
-            if _ok(o) and o <= limit:
+            filled = _ok(o) and o <= limit
+            self._log(t, ticker, rank, limit, o if filled else None)
+            if filled:
                 total += self._buy(ticker, u, o, rank)
                 free -= 1
+                if ticker in book.stopped:
+                    again.append(ticker)
+        for ticker in again:
+            total += self._back_today(ticker, u, target)
         self._fall(u)
         return total / s.k
 
@@ -286,9 +333,10 @@ def _run(rows: pd.DataFrame, s: Settings) -> tuple[Run, list[tuple[int, float]]]
 
 
 def backtests(panel: DataFrame, ranked: DataFrame, runs: dict[str, Settings], what: str = "daily") -> DataFrame:
-    """Daily returns (run, u, ret) or trades (run, ticker, rank, opened, closed, entry, exit, ret, why) of each run.
+    """Daily returns (run, u, ret), trades (run, ticker, rank, opened, closed, entry, exit, ret, why) or orders of each run.
 
-    closed is null for a position that is still open; it is marked at its last close.
+    closed is null for a position that is still open; it is marked at its last close. Orders (run, ticker, rank, t, limit,
+    filled, entry) are all that were placed, those that didn't fill with a null entry.
     """
     k = max(s.k for s in runs.values())
     rows = _inputs(panel, ranked, k).withColumn("run", F.explode(F.array(*map(F.lit, runs))))
@@ -302,6 +350,13 @@ def backtests(panel: DataFrame, ranked: DataFrame, runs: dict[str, Settings], wh
         out = pd.DataFrame(run.book.trades, columns=["ticker", "rank", "opened", "closed", "entry", "exit", "ret", "why"])
         return out.assign(run=key[0], closed=out["closed"].where(out["closed"] >= 0).astype("Int64"))[["run", "ticker", "rank", "opened", "closed", "entry", "exit", "ret", "why"]]
 
+    def orders(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        run, _ = _run(pdf, runs[key[0]])
+        out = pd.DataFrame(run.book.orders, columns=["ticker", "rank", "t", "limit", "filled", "entry"])
+        return out.assign(run=key[0], entry=out["entry"].astype(float))[["run", "ticker", "rank", "t", "limit", "filled", "entry"]]
+
+    if what == "orders":
+        return rows.groupBy("run").applyInPandas(orders, "run string, ticker string, rank long, t long, limit double, filled boolean, entry double")
     if what == "daily":
         return rows.groupBy("run").applyInPandas(daily, "run string, u long, ret double")
     return rows.groupBy("run").applyInPandas(trades, "run string, ticker string, rank long, opened long, closed long, entry double, exit double, ret double, why string")

@@ -62,13 +62,17 @@ def expected_by_rank(trades: DataFrame, prior: float = 50.0) -> DataFrame:
     Trades closed on or before ``opened`` count, as they are known then.
     """
     closed = trades.select(F.col("closed").alias("at"), "rank", "ret")
-    asks = trades.select("id", "rank", F.col("opened").alias("at"))
-    rows = closed.select("at", "rank", "ret", F.lit(0).alias("ask"), F.lit(None).cast("long").alias("id")).unionByName(asks.select("at", "rank", F.lit(None).cast("double").alias("ret"), F.lit(1).alias("ask"), "id"))
-    allw = Window.orderBy("at", "ask")
-    own = Window.partitionBy("rank").orderBy("at", "ask")
-    rows = rows.select("id", "ask", *(F.coalesce(f("ret").over(w), F.lit(0.0)).alias(n) for n, f, w in (("s", F.sum, allw), ("n", F.count, allw), ("rs", F.sum, own), ("rn", F.count, own))))
+    both = closed.unionByName(trades.select(F.col("opened").alias("at"), "rank", F.lit(None).cast("double").alias("ret")))
+    # a row a rank and day before anything is put in order
+    days = both.groupBy("rank", "at").agg(F.coalesce(F.sum("ret"), F.lit(0.0)).alias("s"), F.count("ret").alias("n"))
+    upto = lambda w: (F.sum("s").over(w), F.sum("n").over(w))
+    rs, rn = upto(Window.partitionBy("rank").orderBy("at"))
+    own = days.select("rank", "at", rs.alias("rs"), rn.alias("rn"))
+    s, n = upto(Window.orderBy("at"))
+    every = days.groupBy("at").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).select("at", s.alias("s"), n.alias("n"))
     mu = F.col("s") / (F.col("n") + prior)
-    return trades.join(rows.where("ask = 1").select("id", ((F.col("rs") + prior * mu) / (F.col("rn") + prior)).alias("expected")), "id")
+    known = own.join(every, "at").select("rank", F.col("at").alias("opened"), ((F.col("rs") + prior * mu) / (F.col("rn") + prior)).alias("expected"))
+    return trades.join(known, ["rank", "opened"])
 
 
 def shrunk_mean(n: Column, s: Column, ss: Column) -> Column:

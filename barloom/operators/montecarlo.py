@@ -34,6 +34,55 @@ def drawn(t0: int, paths: np.ndarray, horizon: int, block: int = BLOCK, window:
     return np.minimum(high, steps.reshape(len(paths), -1)[:, :horizon])
 
 
+def drawn_in_states(t0: int, paths: np.ndarray, horizon: int, fit: dict, block: int = BLOCK, seed: int = 1) -> np.ndarray:
+    """Sessions of each path drawn in the states of a regime fit whose sessions end at t0.
+
+    A path starts in a state by today's chances; each block starts at a past session of its state (at any one, where
+    the state has fewer than two blocks of sessions), and the state moves on with every session by the fit's matrix.
+    """
+    g, move = fit["g"], fit["move"]
+    first, n, k = t0 - len(g) + 1, len(g), fit["k"]
+    span = max(1, n - block + 1)
+    likely = g[:span].argmax(axis=1)
+    starts = [first + np.flatnonzero(likely == z) for z in range(k)]
+    out = np.empty((len(paths), horizon), np.int64)
+    for i, path in enumerate(paths.tolist()):
+        count = 0
+
+        def unit() -> float:
+            nonlocal count
+            count += 1
+            with np.errstate(over="ignore"):
+                key = mix64(np.uint64(seed) ^ mix64(np.uint64(t0) * np.uint64(1_000_003) + np.uint64(path)))
+                return float(mix64(key + np.uint64(count)) >> np.uint64(11)) / (1 << 53)
+
+        def pick(chances: np.ndarray) -> int:
+            return int(min(np.searchsorted(np.cumsum(chances), unit(), side="right"), k - 1))
+
+        z, at = pick(fit["now"]), 0
+        while at < horizon:
+            own = starts[z]
+            begin = int(own[min(len(own) - 1, int(unit() * len(own)))]) if len(own) >= 2 * block else first + min(span - 1, int(unit() * span))
+            for j in range(min(block, horizon - at)):
+                out[i, at] = min(t0, begin + j)
+                z, at = pick(move[z]), at + 1
+    return out
+
+
+def ahead_volatility(by_state: DataFrame, overall: DataFrame, fits: DataFrame, least: int = 20, least_all: int = 60) -> DataFrame:
+    """(t0, ticker, sigma): the state deviations mixed by the chances of the states ahead.
+
+    ``by_state`` has t0, ticker, state, weight and sigma; ``overall`` ticker's own t0, ticker, n and sigma; ``fits`` t0
+    and ahead. A state with a weight under ``least`` sessions counts with the ticker's own variance; a ticker with
+    under ``least_all`` sessions gets its own deviation.
+    """
+    ahead = fits.select("t0", F.posexplode("ahead").alias("state", "chance"))
+    rows = overall.select("t0", "ticker", "n", F.col("sigma").alias("own")).join(ahead, "t0").join(by_state, ["t0", "ticker", "state"], "left")
+    variance = F.when(F.coalesce("weight", F.lit(0.0)) >= least, F.col("sigma") * F.col("sigma")).otherwise(F.col("own") * F.col("own"))
+    mixed = rows.groupBy("t0", "ticker").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.sum(F.col("chance") * variance).alias("v"))
+    return mixed.select("t0", "ticker", F.when(F.col("n") < least_all, F.col("own")).otherwise(F.sqrt("v")).alias("sigma"))
+
+
 def slot(bars: dict[str, np.ndarray], sessions: np.ndarray, s: Settings, sigma: float, lows: Sequence[float] = (), adj: float = 1.0) -> tuple[float, bool]:
     """(return, stopped) of one slot over drawn sessions: bought at the first open within the limit, held, stopped by rule.
 
@@ -175,7 +224,7 @@ def gated(record: DataFrame, last: int = 12) -> DataFrame:
 
 
 def state_volatility(panel: DataFrame, gamma: DataFrame, k: int) -> DataFrame:
-    """(t0, ticker, state, sigma): deviation of returns weighted by the chance of each state on each session.
+    """(t0, ticker, state, weight, sigma): deviation of returns weighted by the chance of each state on each session.
 
     ``gamma`` has t0, t and g, an array of k chances: the range join is on the sessions that a reset's model covers.
     """
@@ -183,4 +232,4 @@ def state_volatility(panel: DataFrame, gamma: DataFrame, k: int) -> DataFrame:
     w, x = F.col("w"), F.col("ret")
     mean = F.sum(w * x) / F.sum(w)
     var = F.sum(w * x * x) / F.sum(w) - mean * mean
-    return joined.where(F.col("state") < k).groupBy("t0", "ticker", "state").agg(F.sqrt(F.greatest(var, F.lit(0.0))).alias("sigma"))
+    return joined.where(F.col("state") < k).groupBy("t0", "ticker", "state").agg(F.sum(w).alias("weight"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sigma"))

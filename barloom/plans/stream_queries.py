@@ -256,6 +256,7 @@ RUNS = {
     "psarvol": backtest.Settings(psarvol=3.0, refill=True),
     "vstop": backtest.Settings(vstop=3.0, rebuystop=0.01),
     "stop5": backtest.Settings(stop=0.05, rebuy=0.01),
+    "median": backtest.Settings(psarvol=3.0, rebuystop=0.01, stopmedian=True),
 }
 
 
@@ -270,6 +271,12 @@ def backtest_stateful_trades(spark, sf_dir):
     return rnd(backtest.backtests(universe(spark, sf_dir), ranking(spark, sf_dir, "momentum"), RUNS, "trades"))
 
 
+@register("backtest_stateful_orders")
+def backtest_stateful_orders(spark, sf_dir):
+    """Every order of the five runs, filled or not."""
+    return rnd(backtest.backtests(universe(spark, sf_dir), ranking(spark, sf_dir, "momentum"), RUNS, "orders"))
+
+
 @register("allocate_markets")
 def allocate_markets(spark, sf_dir):
     return rnd(models.allocation(daily_by_k(spark, sf_dir).select(F.col("k").cast("string").alias("market"), "u", "ret")))

@@ -88,12 +88,33 @@ def read_venues(spark: SparkSession, path: str) -> DataFrame:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Bars of JSON files that map days to values, one file a symbol; missing open, high and low are the close."""
     day = "map<string,struct<o:double,h:double,l:double,c:double,v:double>>"
-    text = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("ticker"), F.from_json("value", day).alias("m"))
+    name = F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"/ticker=([^/]+)/[^/]*$", 1), F.lit("")), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.url_decode(name).alias("ticker"), F.from_json("value", day).alias("m"))
     rows = text.select("ticker", F.explode("m").alias("day", "b"))
     filled = [F.coalesce(f"b.{x}", "b.c").alias(x) for x in "ohl"]
     return rows.select(F.expr("try_cast(day as date)").alias("d"), "ticker", *filled, "b.c", F.coalesce("b.v", F.lit(0.0)).alias("v")).where("d is not null and c > 0")
 
 
+def save_store(bars: DataFrame, path: str) -> None:
+    """Writes bars as the store has them: a JSON file a symbol that maps days to values, one file a task's group.
+
+    A symbol's days are one value here as they are one file there; symbols are spread over the cluster.
+    """
+    day = F.struct(F.date_format("d", "yyyy-MM-dd").alias("key"), F.struct("o", "h", "l", "c", "v").alias("value"))
+    text = bars.groupBy("ticker").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(day)))).alias("value"))
+    text.write.mode("overwrite").partitionBy("ticker").text(path)
+
+
+def newest(spark: SparkSession, folder: str, keep: int | None = None) -> list[str]:
+    """Files of a folder by name, the newest (largest) first; with ``keep`` those after the first so many are deleted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted((x.getPath().getName() for x in files.listStatus(path) if x.isFile()), reverse=True) if files.exists(path) else []
+    for name in names[keep:] if keep is not None else []:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(path, name), False)
+    return names[:keep]
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` replaces rows of the same day and ticker; an empty ``new`` changes nothing."""
     return old.join(new.select("d", "ticker").distinct(), ["d", "ticker"], "left_anti").unionByName(new)
