@@ -2,14 +2,15 @@
 
 Each language has a tree of byte contexts of up to ORDER bytes. A symbol that was seen after a context has the share of
 its count; one that wasn't costs an escape (the share of the distinct symbols, as in method C) and is looked up after
-the context shortened by its first byte; below the empty context all symbols are alike. The trees are trained once and
-frozen, so the code length of a text is a sum over its bytes. It is exact: the costs of every context that is kept are
-tabulated, and a byte is charged by the longest context kept for any language.
+the context shortened by its first byte; a context a language never saw is shortened for nothing; below the empty
+context all symbols are alike. The trees are trained once and frozen, so the code length of a text is a sum over its
+bytes, and it is exact: no context is left out. The trees are sparse. A string of a context and a symbol that any
+language saw is kept with its cost in every language; for others the escapes of the context are kept, and the string
+without its first byte is looked up.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import columns, small_batches
 
-ORDER = 3
-#: Bounds of the model: training documents of a language, and contexts kept (the most frequent ones).
-DOCS_PER_LANG, MAX_CONTEXTS = 250, 12_000
+ORDER = 4
+#: Bound of the sample: training documents of a language.
+DOCS_PER_LANG = 250
 #: Bytes scored at a time.
 STEP = 1 << 18
 
@@ -40,28 +41,82 @@ def symbols(text: str) -> np.ndarray:
     return np.frombuffer(regex.sub(r"\s+", " ", text.lower()).encode("utf-8", "surrogatepass"), np.uint8)
 
 
+class Index:
+    """Places of distinct numbers, found by hashing with linear probes, many at once."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.mask = (1 << int(64 - int(self.shift))) - 1
+        self.table = np.full(self.mask + 1, -1, np.int32)
+        left, step, home = np.arange(len(keys)), 0, self._home(keys)
+        while len(left):
+            slot = (home[left] + step) & self.mask
+            free = np.flatnonzero(self.table[slot] < 0)
+            at, first = np.unique(slot[free], return_index=True)
+            self.table[at] = left[free[first]]
+            left = np.delete(left, free[first])
+            step += 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 where it isn't there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        slot = self._home(keys)
+        found = self.table[slot]
+        open_ = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            found[open_] = self.table[slot[open_]]
+            open_ = open_[(found[open_] >= 0) & (self.keys[found[open_]] != keys[open_])]
+        return found
+
+
+@dataclass(frozen=True)
+class Level:
+    """Contexts of one size: bits of each known string of a context and a symbol, and of each context's escapes, by language."""
+
+    strings: Index
+    bits: np.ndarray
+    contexts: Index
+    escapes: np.ndarray
+
+
 @dataclass(frozen=True)
 class Model:
-    """Frozen trees: ``code`` numbers the bytes, ``row`` the contexts of ORDER bytes, ``cost`` has bits by row, symbol, language."""
+    """Frozen trees: ``code`` numbers the bytes, ``width`` is how many numbers there are, ``levels`` by context size."""
 
     langs: tuple[str, ...]
     code: np.ndarray
-    row: np.ndarray
-    cost: np.ndarray
     width: int
+    levels: tuple[Level, ...]
 
     def bits(self, text: str) -> np.ndarray:
         """Code length of the text in each language."""
         total = np.zeros(len(self.langs))
-        data = self.code[symbols(text)].astype(np.int32)
-        data = np.r_[np.zeros(ORDER, np.int32), data]
-        w = self.width
-        for i in range(0, len(data) - ORDER, STEP):
-            part = data[i : i + STEP + ORDER]
-            key = part[: len(part) - ORDER]
-            for k in range(1, ORDER):
-                key = key * w + part[k : len(part) - ORDER + k]
-            total += self.cost[self.row[key] * w + part[ORDER:]].sum(axis=0, dtype=np.float64)
+        order, w = len(self.levels) - 1, self.width
+        data = np.r_[np.zeros(order, np.int64), self.code[symbols(text)]]
+        for i in range(0, len(data) - order, STEP):
+            part = data[i : i + STEP + order]
+            n = len(part) - order
+            key = part[:n].copy()
+            for k in range(1, order + 1):
+                key *= w
+                key += part[k : n + k]
+            for k in range(order, -1, -1):
+                level = self.levels[k]
+                at = level.strings(key)
+                hit = at >= 0
+                total += level.bits[at[hit]].sum(axis=0)
+                key = key[~hit]
+                if not len(key):
+                    break
+                above = level.contexts(key // w)
+                total += level.escapes[above[above >= 0]].sum(axis=0)
+                key %= w**k
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -73,73 +128,56 @@ class Model:
         return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum())
 
 
-def train(samples: list[tuple[str, str]], max_contexts: int = MAX_CONTEXTS) -> Model:
+def train(samples: list[tuple[str, str]], order: int = ORDER) -> Model:
     """A model from (language, text) pairs; no samples give a model without languages, which predicts ``und``."""
     langs = tuple(sorted({lang for lang, _ in samples}))
     if not langs:
-        return Model((), np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 0), np.float32), 1)
+        return Model((), np.zeros(256, np.int64), 1, ())
     texts = [[symbols(t) for lang, t in samples if lang == name] for name in langs]
     seen = np.flatnonzero(sum(np.bincount(t, minlength=256) for own in texts for t in own))
-    code = np.zeros(256, np.int32)  # 0 stands for the start of a text and for bytes never seen
+    code = np.zeros(256, np.int64)  # 0 stands for the start of a text and for bytes never seen
     code[seen] = np.arange(1, len(seen) + 1)
     w = len(seen) + 1
-    counts: list[list[dict[int, int]]] = []  # by language and order: (context, symbol) as a number -> times
+    counted: list[list[tuple[np.ndarray, np.ndarray]]] = []  # by language and size of context: strings and how often
     for own in texts:
-        by_order = [Counter() for _ in range(ORDER + 1)]
+        strings = [[] for _ in range(order + 1)]
         for t in own:
-            data = np.r_[np.zeros(ORDER, np.int64), code[t]]
-            n = len(data) - ORDER
-            for k in range(ORDER + 1):
-                key = np.zeros(n, np.int64)
-                for j in range(ORDER - k, ORDER + 1):
-                    key = key * w + data[j : j + n]
-                values, times = np.unique(key, return_counts=True)
-                by_order[k].update(dict(zip(values.tolist(), times.tolist())))
-        counts.append(by_order)
-    tables = []
-    for k in range(ORDER + 1):
-        table: dict[int, np.ndarray] = {}
-        for lang, by_order in enumerate(counts):
-            for key, n in by_order[k].items():
-                table.setdefault(key // w, np.zeros((w, len(langs)), np.float32))[key % w, lang] = n
-            by_order[k] = {}
-        if k:
-            room = max_contexts * k // ORDER  # longer contexts are many more, and rarer
-            kept = sorted(table, key=lambda c: (-float(table[c].sum()), c))[:room]
-            table = {c: table[c] for c in kept}
-        tables.append(table)
-
-    def blended(n: np.ndarray, below: np.ndarray) -> np.ndarray:
-        total, kinds = n.sum(axis=0), (n > 0).sum(axis=0)
+            data = np.r_[np.zeros(order, np.int64), code[t]]
+            n, key = len(data) - order, np.zeros(len(data) - order, np.int64)
+            for k in range(order + 1):
+                key = key + data[order - k : order - k + n] * w**k
+                strings[k].append(key)
+        counted.append([np.unique(np.concatenate(s), return_counts=True) for s in strings])
+    levels: list[Level] = []
+    below_keys, below = np.empty(0, np.int64), np.empty((0, len(langs)))
+    for k in range(order + 1):
+        keys = np.unique(np.concatenate([own[k][0] for own in counted]))
+        if k == 0:
+            keys = np.arange(w)
+        times = np.zeros((len(keys), len(langs)))
+        for lang, own in enumerate(counted):
+            times[np.searchsorted(keys, own[k][0]), lang] = own[k][1]
+        contexts, of = np.unique(keys // w, return_inverse=True)
+        begin = np.searchsorted(of, np.arange(len(contexts)))
+        total, kinds = np.add.reduceat(times, begin, axis=0), np.add.reduceat((times > 0).astype(float), begin, axis=0)
         escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        return np.where(n > 0, n / np.maximum(total + kinds, 1), escape * below)
-
-    rows = [blended(tables[0].get(0, np.zeros((w, len(langs)))), np.full((w, len(langs)), 1 / w))]
-    index: list[dict[int, int]] = [{0: 0}]
-    for k in range(1, ORDER + 1):
-        own = {}
-        for c in sorted(tables[k]):
-            below = next(index[j][c % w**j] for j in range(k - 1, -1, -1) if c % w**j in index[j])
-            own[c] = len(rows)
-            rows.append(blended(tables[k][c], rows[below]))
-        index.append(own)
-    row = np.zeros(w**ORDER, np.int32)
-    for k in range(1, ORDER + 1):
-        shaped = row.reshape(-1, w**k)
-        for c, r in index[k].items():
-            shaped[:, c] = r
-    cost = -np.log2(np.array(rows, np.float64)).astype(np.float32).reshape(-1, len(langs))
-    return Model(langs, code, row, cost, w)
+        shorter = np.full(times.shape, 1 / w) if k == 0 else below[np.searchsorted(below_keys, keys % w**k)]
+        chance = np.where(times > 0, times / np.maximum(total + kinds, 1)[of], escape[of] * shorter)
+        levels.append(Level(Index(keys), -np.log2(chance), Index(contexts), -np.log2(escape)))
+        below_keys, below = keys, chance
+    return Model(langs, code, w, tuple(levels))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model:
-    """A model of at most ``docs_per_lang`` whole documents of each language (the least hashes of doc_id), none held out."""
+    """A model of at most ``docs_per_lang`` whole documents of each language (the least hashes of doc_id), none held out.
+
+    One row a doc_id is collected, so the bound holds whatever repeats."""
     known = columns(docs, doc_id=id_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang).select("doc_id").distinct()
     texts = columns(docs, doc_id=id_col, lang=lang_col, text=text_col).where("lang is not null and text is not null")
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text").collect()
-    return train(sorted((r.lang, r.text) for r in rows))
+    one = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r"))  # of rows that share an id, the least
+    return train(sorted((r.lang, r.text) for r in one.select("r.lang", "r.text").collect()))
 
 
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -204,8 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", (1 - F.col("q")).cast("int").alias("bad"))
     own = columns(docs, doc_id=id_col, text=text_col).join(F.broadcast(wanted), "doc_id", "left_semi")
     stats = statistics(own).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    got = stats.join(F.broadcast(wanted), "doc_id").select("doc_id", "bad", *FEATURES).collect()
-    return learn([r.asDict() for r in got])
+    one = stats.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min(F.struct("bad", *FEATURES)).alias("r"))  # of rows that share an id, the least
+    return learn([r.asDict() for r in one.select("doc_id", "r.*").collect()])
 
 
 def judged(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

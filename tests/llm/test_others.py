@@ -181,13 +181,64 @@ def test_language_model(spark):
     assert langid.train([]).predict("text") == ("und", 0.0)
 
 
-def test_code_length_is_that_of_the_tree():
-    model = langid.train([("a", "abab abac"), ("b", "cdcd cdce")], max_contexts=10**6)
-    text = "abad"
-    total = 0.0
-    data = [0, 0, 0, *model.code[langid.symbols(text)].tolist()]
-    for i in range(3, len(data)):
-        key = (data[i - 3] * model.width + data[i - 2]) * model.width + data[i - 1]
-        total += model.cost[model.row[key] * model.width + data[i], 0]
-    assert model.bits(text)[0] == pytest.approx(total)
-    assert model.predict("abab")[0] == "a" and model.predict("cdce")[0] == "b"
+def ppm_bits(text, train, order):
+    """Code length by the definition, byte by byte, from counts of plain strings."""
+    data = bytes(langid.symbols(text))
+    known = sorted({b for _, t in train for b in bytes(langid.symbols(t))})
+    number = {b: i + 1 for i, b in enumerate(known)}
+    width, out = len(known) + 1, []
+    for lang in sorted({g for g, _ in train}):
+        seen = {}
+        for g, t in train:
+            if g == lang:
+                d = [0] * order + [number[b] for b in bytes(langid.symbols(t))]
+                for i in range(order, len(d)):
+                    for k in range(order + 1):
+                        own = seen.setdefault(tuple(d[i - k : i]), {})
+                        own[d[i]] = own.get(d[i], 0) + 1
+        d, bits = [0] * order + [number.get(b, 0) for b in data], 0.0
+        for i in range(order, len(d)):
+            p = 1.0
+            for k in range(order, -1, -1):
+                own = seen.get(tuple(d[i - k : i]))
+                if own is None:
+                    continue
+                total = sum(own.values()) + len(own)
+                if d[i] in own:
+                    p *= own[d[i]] / total
+                    break
+                p *= len(own) / total
+            else:
+                p /= width
+            bits -= np.log2(p)
+        out.append(bits)
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_code_length_by_definition(order):
+    rng = random.Random(order)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    train = [("a", make("abc é", 300)), ("a", make("abd", 50)), ("b", make("cde ü", 200)), ("c", make("aeb", 20))]
+    model = langid.train(train, order)
+    for text in ("abad", "", "zzz?", make("abcdeéü xq", 400), make("abc", 60)):
+        assert model.bits(text) == pytest.approx(ppm_bits(text, train, order))
+    assert langid.train([("a", "abab abac"), ("b", "cdcd cdce")]).predict("abab")[0] == "a"
+
+
+def test_index_finds_what_it_holds():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 5000, 1500))
+    asked = rng.integers(0, 6000, 4000)
+    at = langid.Index(keys)(asked)
+    assert (at[at >= 0].astype(bool) | True).all() and (keys[at[at >= 0]] == asked[at >= 0]).all()
+    assert (np.isin(asked, keys) == (at >= 0)).all()
+
+
+def test_language_sample_is_bounded_by_rows(spark):
+    df = spark.createDataFrame([(1, "the and", "en")] * 50 + [(3, "le la", "fr")] * 50, DOCS + ", lang string")
+    model = langid.fit(df)
+    assert model.langs == ("en", "fr") and model.bits("the").shape == (2,)
+    assert langid.predicted(df.limit(0), model).count() == 0
+
+
