@@ -57,6 +57,8 @@ class Part:
     """The inverted files of one part of the table."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, pivot: np.ndarray, prefix: int = PREFIX) -> None:
+        by_id = np.argsort(ids, kind="stable")
+        ids, v = ids[by_id], v[by_id]
         self.ids, self.v, self.pivot, self.prefix = ids, v, pivot, prefix
         order = orders(v, pivot, prefix)
         place = np.tile(np.arange(order.shape[1], dtype=np.int32), len(v))
@@ -65,7 +67,7 @@ class Part:
         self.begin = np.searchsorted(order.ravel()[by], np.arange(len(pivot) + 1))
 
     def candidates(self, order: np.ndarray, budget: int) -> np.ndarray:
-        """Rows of the least footrule distance to a query's order; one that shares no pivot is farthest."""
+        """Rows of the least footrule distance to a query's order, ties to the smaller id; one that shares no pivot is farthest."""
         if budget >= len(self.ids):
             return np.arange(len(self.ids))
         near = np.zeros(len(self.ids), np.int32)
@@ -74,7 +76,9 @@ class Part:
             own = slice(self.begin[p], self.begin[p + 1])
             # a pivot that only one order has counts as its place next after the last
             near[self.row[own]] += (k - at) + (k - self.place[own]) - np.abs(self.place[own] - at)
-        return np.argpartition(-near, budget - 1)[:budget]
+        edge = -np.partition(-near, budget - 1)[budget - 1]
+        sure, tied = np.flatnonzero(near > edge), np.flatnonzero(near == edge)  # ids rise with the rows
+        return np.r_[sure, tied[: budget - len(sure)]]
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, share: float, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         budget = max(least, k + 1, int(share * len(self.ids)))
@@ -104,12 +108,16 @@ def nearest(
 
     The pivots come from at most SAMPLE rows; every row is indexed. Of vectors that are equal, the k + 1 smallest ids
     stand for all, as no other can be among the k nearest; equal queries are searched once. A row is never its own
-    neighbour. Vectors that ``valid`` leaves out neither ask nor answer; of rows with one id the one with the least vector counts. All vectors
-    must have one length. No vectors give an empty result.
+    neighbour. Vectors that ``valid`` leaves out neither ask nor answer, nor do those of another length than most (of
+    equally frequent lengths the smaller one); of rows with one id the one with the least vector counts. The parts
+    depend on ids and their number alone, and ties at every cut go to the smaller id, so partitioning changes nothing.
+    No vectors give an empty result.
     """
     spark = vectors.sparkSession
-    base = valid(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asks = valid(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v"))
+    held, wanted = valid(vectors, id_col, vec_col), valid(queries, id_col, vec_col)
+    sizes = held.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    size = sizes[0].n if sizes else 0
+    base, asks = (x.where(F.size("v") == size).groupBy("vec_id").agg(F.min("v").alias("v")) for x in (held, wanted))
     picked = [r.v for r in base.select("v").orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE).collect()]
     schema = "query_id long, vec_id long, score double"
     if not picked:
