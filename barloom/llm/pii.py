@@ -39,16 +39,23 @@ _CANDIDATE = {
     "id": r"(?<![A-Za-z0-9.-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![A-Za-z0-9-])",
 }
 _CANDIDATE_NEEDS = {"secret": r"[A-Za-z0-9_-]{16}", "name": r"[A-Z][a-z]+ [A-Z][a-z]", "id": r"[0-9]{3}-[0-9]|[0-9]\) [0-9]|[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"}
-_GIVEN = "Alice|Anna|Carlos|Charles|David|Elena|Emma|Hans|James|Jean|John|Juan|Karl|Laura|Maria|Marie|Mary|Michael|Paul|Peter|Pierre|Robert|Sarah|Thomas|William"
+_GIVEN = (
+    "Adam Alan Albert Alex Alice Amanda Amy Ana Andrea Andrew Angela Ann Anna Anne Antonio Arthur Barbara Benjamin Bernard Beth Brian Bruce Carl Carla Carlos Carmen Carol Caroline Catherine Charles Charlotte Chris Christian Christine Claire Claude Claudia Daniel David Deborah Diana Diego Donald Dorothy Edward Elena Elizabeth Emily Emma Eric Eva Fernando Francis Francisco Frank Franz Gary Georg George Gerald Grace Greg Hans Harold Harry Heinrich Helen Helga Henry Hugo Ian Ingrid Isabel Jack Jacob James Jane Janet Jason Javier Jean Jennifer Jessica Joan John Jonathan Jorge Jose Joseph Juan Judith Julia Julie Karen Karl "
+    "Katherine Kevin Klaus Kurt Larry Laura Lena Linda Lisa Lucas Lucia Luis Luke Manuel Marc Margaret Maria Marie Mark Markus Martha Martin Mary Matthew Max Michael Michel Miguel Monica Nancy Nicole Nina Olivia Oscar Otto Pablo Patricia Patrick Paul Paula Pedro Peter Philip Pierre Rachel Ralph Raymond Rebecca Richard Robert Roger Rosa Ruth Samuel Sandra Sara Sarah Scott Sofia Sophie Stefan Stephen Steven Susan Teresa Thomas Tim Victor Walter William Wolfgang"
+).replace(" ", "|")
 _NOT_NAMES = "January|February|March|April|May|June|July|August|September|October|November|December|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|North|South|East|West|New|License|Public|General"
 _BEFORE = {
     "secret": r"(?i)(?:token|secret|passw(?:or)?d|api[ _-]?key|key|bearer|auth)\W{0,5}$",
     "name": r"(?i)(?:name(?: is)?|contact|signed|dear|born|attn)\W{1,3}$",
     "id": r"(?i)(?:ssn|social security|passport|iban|account|tel|phone|call|fax|id)\W{1,5}$",
 }
+_KEYS = r"(?i)^(?:sk|pk|rk)[_-](?:live|test|prod)|^gh[pousr]_|^AKIA[0-9A-Z]|^xox[abprs]-|^AIza|^eyJ|^glpat-"
+_COUNTRY = "^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|RO|SE)[0-9]{2}"
 LABELERS = ("shape", "gazetteer", "context", "spread")
-#: Characters before a candidate that its context labeler sees.
-CONTEXT = 24
+#: Characters before a candidate that its context labeler sees, and matches that are added up at a time.
+CONTEXT, BLOCK = 24, 256
+#: How much the belief that labelers vote rather right than wrong weighs, as a share of a kind's candidates.
+BELIEF = 0.5
 
 
 def _found(text: Column, pattern: str, needs: str) -> Column:
@@ -61,16 +68,21 @@ def _found(text: Column, pattern: str, needs: str) -> Column:
         e = s + F.length(x["hits"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hits"].alias("m")))).alias("out"))
 
-    # a one-element array binds the two scans, so that each is made once
-    each = F.transform(
-        F.array(parts),
-        lambda p: F.aggregate(
-            F.filter(F.arrays_zip(p["gaps"].alias("gaps"), p["hits"].alias("hits")), lambda x: x["hits"].isNotNull()),
-            F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-            add,
-            lambda acc: acc["out"],
-        ),
-    )
+    # long lists go block by block, as each step of an aggregate copies what it has; an array binds what is used twice
+    def block(x: Column, at: Column) -> Column:
+        return F.aggregate(x, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), add)
+
+    def add_block(acc: Column, x: Column) -> Column:
+        return F.concat(acc, F.array(block(x, F.coalesce(F.try_element_at(acc, F.lit(-1))["at"], F.lit(0)))))
+
+    def spans(both: Column) -> Column:
+        n = F.size(both)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda i: F.slice(both, i * BLOCK + 1, F.lit(BLOCK)))
+        done = F.aggregate(blocks, F.array().cast(f"array<struct<at:int,out:{kind}>>"), add_block)
+        return F.when(n > 0, F.flatten(F.transform(done, lambda d: d["out"]))).otherwise(F.array().cast(kind))
+
+    zipped = F.transform(F.array(parts), lambda p: F.filter(F.arrays_zip(p["gaps"].alias("gaps"), p["hits"].alias("hits")), lambda x: x["hits"].isNotNull()))
+    each = F.transform(zipped, spans)
     return F.when(text.rlike(needs), F.element_at(each, 1)).otherwise(F.array().cast(kind))
 
 
@@ -112,14 +124,14 @@ def _votes(kind: str, m: Column, before: Column) -> list[Column]:
     never = F.lit(False)
     spread = F.size(F.array_distinct(F.split(m, "")))
     shape = {
-        "secret": yes_no(m.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | (m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9].*[0-9].*[0-9]")), m.rlike("^[0-9]+$|[A-Za-z]{12}")),
+        "secret": yes_no(m.rlike(_KEYS) | m.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | (m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9].*[0-9].*[0-9]")), m.rlike("^[0-9]+$|[A-Za-z]{12}")),
         "name": yes_no(m.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)\b"), F.length(m) > 40),
         "id": yes_no(m.rlike("^[0-9(]"), never),
     }
     gazetteer = {
-        "secret": yes_no(never, m.rlike("(?i)example|version|test|sample")),
+        "secret": yes_no(m.rlike(_KEYS), m.rlike("(?i)example|version|test|sample")),
         "name": yes_no(m.rlike(rf"\b(?:{_GIVEN})\b"), m.rlike(rf"\b(?:{_NOT_NAMES})\b")),
-        "id": yes_no(never, m.rlike("^(?:000|123-45|666|\\(000)")),
+        "id": yes_no(m.rlike(_COUNTRY), m.rlike("^(?:000|123-45|666|\\(000)")),
     }
     return [shape[kind], gazetteer[kind], F.when(before.rlike(_BEFORE[kind]), 1).otherwise(-1), yes_no(spread >= 10, spread <= 4)]
 
@@ -149,57 +161,60 @@ def _with_candidates(spans: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SpanModel:
-    """Weights of the span classifier by input; reliability[labeler] = P(vote | personal), P(vote | not)."""
+    """Weights of the span classifier by input; reliability[kind, labeler] = P(vote | personal), P(vote | not)."""
 
     weights: dict[tuple, float] = field(default_factory=dict)
-    reliability: dict[str, tuple[dict[int, float], dict[int, float]]] = field(default_factory=dict)
+    reliability: dict[tuple[str, str], tuple[dict[int, float], dict[int, float]]] = field(default_factory=dict)
     threshold: float = 0.9
 
     def accepts(self, c: Column) -> Column:
         """The classifier as an expression over a candidate; a model without weights accepts nothing."""
         if not self.weights:
             return F.lit(False)
-        value = {"bias": F.lit(0), "kind": c["kind"], "size": c["size"], "digits": c["digits"]} | {n: c["votes"][i] for i, n in enumerate(LABELERS)}
+        value = {"bias": F.lit(0), "kind": c["kind"], "size": c["size"], "digits": c["digits"]} | {n: F.concat_ws(" ", c["kind"], c["votes"][i].cast("string")) for i, n in enumerate(LABELERS)}
         terms = [F.when(value[k[0]] == F.lit(k[1]), w).otherwise(0.0) for k, w in sorted(self.weights.items(), key=str)]
         return reduce(lambda a, b: a + b, terms) >= math.log(self.threshold / (1 - self.threshold))
 
 
 def _inputs(r: dict) -> list[tuple]:
-    return [("bias", 0), ("kind", r["kind"]), ("size", r["size"]), ("digits", r["digits"]), *zip(LABELERS, r["votes"])]
+    return [("bias", 0), ("kind", r["kind"]), ("size", r["size"]), ("digits", r["digits"]), *((n, f"{r['kind']} {v}") for n, v in zip(LABELERS, r["votes"]))]
 
 
 def train(patterns: list[dict], rounds: int = 60, steps: int = 400, threshold: float = 0.9) -> SpanModel:
     """A model from counts ``n`` of (kind, votes, size, digits); no candidates give one that accepts nothing.
 
-    Expectation-maximisation starts from the share of positive votes and keeps one prior for each kind. A labeler is
-    taken to do no worse than chance: its votes for and against can't change places.
+    Expectation-maximisation starts from the share of positive votes and keeps a prior and reliabilities for each kind,
+    as a labeler that is good at names may be poor at secrets. Estimates lean to labelers that vote rather right than
+    wrong (``BELIEF``), as classes that only split the personal ones would fit the counts as well. A labeler is taken to
+    do no worse than chance: its votes for and against can't change places.
     """
     if not patterns:
         return SpanModel(threshold=threshold)
     kinds = sorted({r["kind"] for r in patterns})
     p = [(1 + sum(v > 0 for v in r["votes"])) / (2 + sum(v != 0 for v in r["votes"])) for r in patterns]
-    tables: list[tuple[dict, dict]] = []
+    tables: dict[tuple[str, str], tuple[dict, dict]] = {}
     for _ in range(rounds):
         prior = {}
         for k in kinds:
-            own = [(q, r["n"]) for q, r in zip(p, patterns) if r["kind"] == k]
-            prior[k] = (1 + sum(q * n for q, n in own)) / (2 + sum(n for _, n in own))
-        tables = []
-        for i in range(len(LABELERS)):
-            yes, no = dict.fromkeys((-1, 0, 1), 1.0), dict.fromkeys((-1, 0, 1), 1.0)
-            for q, r in zip(p, patterns):
-                yes[r["votes"][i]] += q * r["n"]
-                no[r["votes"][i]] += (1 - q) * r["n"]
-            a, b = sum(yes.values()), sum(no.values())
-            yes, no = {v: x / a for v, x in yes.items()}, {v: x / b for v, x in no.items()}
-            if yes[1] < no[1]:
-                yes[1] = no[1] = (yes[1] + no[1]) / 2
-            if yes[-1] > no[-1]:
-                yes[-1] = no[-1] = (yes[-1] + no[-1]) / 2
-            tables.append((yes, no))
+            mine = [(q, r) for q, r in zip(p, patterns) if r["kind"] == k]
+            belief = 1 + BELIEF * sum(r["n"] for _, r in mine)
+            prior[k] = (belief / 2 + sum(q * r["n"] for q, r in mine)) / (belief + sum(r["n"] for _, r in mine))
+            for i, name in enumerate(LABELERS):
+                yes, no = {1: 0.4 * belief, 0: 0.5 * belief, -1: 0.1 * belief}, {1: 0.1 * belief, 0: 0.5 * belief, -1: 0.4 * belief}
+                for q, r in mine:
+                    yes[r["votes"][i]] += q * r["n"]
+                    no[r["votes"][i]] += (1 - q) * r["n"]
+                a, b = sum(yes.values()), sum(no.values())
+                yes, no = {v: x / a for v, x in yes.items()}, {v: x / b for v, x in no.items()}
+                if yes[1] < no[1]:
+                    yes[1] = no[1] = (yes[1] + no[1]) / 2
+                if yes[-1] > no[-1]:
+                    yes[-1] = no[-1] = (yes[-1] + no[-1]) / 2
+                tables[k, name] = yes, no
         new = []
         for r in patterns:
-            odds = math.log(prior[r["kind"]] / (1 - prior[r["kind"]])) + sum(math.log(t[0][v] / t[1][v]) for t, v in zip(tables, r["votes"]))
+            own = [tables[r["kind"], name] for name in LABELERS]
+            odds = math.log(prior[r["kind"]] / (1 - prior[r["kind"]])) + sum(math.log(t[0][v] / t[1][v]) for t, v in zip(own, r["votes"]))
             new.append(1 / (1 + math.exp(-max(-500.0, min(500.0, odds)))))
         moved = max(abs(a - b) for a, b in zip(p, new))
         p = new
@@ -217,7 +232,7 @@ def train(patterns: list[dict], rounds: int = 60, steps: int = 400, threshold: f
                 slope[x] += g
         for x, g in slope.items():
             weights[x] -= 2.0 * g
-    return SpanModel(weights, dict(zip(LABELERS, tables)), threshold)
+    return SpanModel(weights, tables, threshold)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9) -> SpanModel:
