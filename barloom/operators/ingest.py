@@ -44,6 +44,39 @@ def distinct_values(rows: DataFrame, by: str, *columns: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n"), *(F.count_distinct(F.when(F.col(c) != "", F.col(c))).alias(c) for c in columns))
 
 
+def kept_list(old: DataFrame, new: DataFrame, least: int = 300, share: float = 0.8) -> DataFrame:
+    """``new`` unless it has shrunk: a list with fewer rows than ``least`` or than ``share`` of the old one leaves the old one."""
+    counts = old.agg(F.count("*").alias("a")).crossJoin(new.agg(F.count("*").alias("b")))
+    fine = counts.select((F.col("b") >= F.greatest(F.lit(float(least)), share * F.col("a"))).alias("fine"))
+    both = old.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
+    return both.join(F.broadcast(fine), F.col("is_new") == F.col("fine")).drop("is_new", "fine")
+
+
+def pages_until_old(pages: DataFrame, pattern: str, most: int = 5) -> DataFrame:
+    """Distinct codes of the pages (page, html) in order, up to the first page that has no new one, ``most`` pages at most."""
+    found = pages.where(F.col("page") < most).select("page", F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("code"))
+    first = found.groupBy("code").agg(F.min("page").alias("page"))
+    fresh = first.select("page").distinct()
+    dry = pages.where(F.col("page") < most).select("page").distinct().join(fresh, "page", "left_anti").agg(F.coalesce(F.min("page"), F.lit(most)).alias("stop"))
+    return first.join(F.broadcast(dry), F.col("page") < F.col("stop")).select("code")
+
+
+def export_shares(bars: DataFrame, shares: DataFrame, most: int) -> DataFrame:
+    """The exchange's export: valid bars of its ordinary shares, units, outliers and splits put right, jumpy ones left out, the most traded kept.
+
+    ``shares`` has ticker, name and kind; ``most`` is how many tickers stay.
+    """
+    from barloom.operators import clean
+    from barloom.sources.bars import valid
+
+    listed = shares.where(ordinary(F.col("name"), F.col("kind"))).select("ticker")
+    own = valid(bars.join(listed, "ticker", "left_semi")).withColumn("t", F.datediff("d", F.lit("1970-01-01").cast("date")))
+    own = infer_splits(clean.drop_outliers(clean.repair_units(own).select("ticker", "d", *clean.PRICES, "v")))
+    own = own.join(clean.jumpy(own).select("ticker"), "ticker", "left_anti")
+    today = own.join(F.broadcast(own.agg(F.max("d").alias("d"))), "d")
+    return own.join(most_traded_today(today, most).select("ticker"), "ticker", "left_semi")
+
+
 def due(jobs: DataFrame, day: int, minute: int, tries: int = 3, wait: int = 10) -> DataFrame:
     """Jobs (job, at, done_day, tries, last_try) to run now: their minute has come, they aren't done today, and they may be tried again.
 
@@ -56,29 +89,30 @@ def due(jobs: DataFrame, day: int, minute: int, tries: int = 3, wait: int = 10)
 def infer_splits(bars: DataFrame, window: int = 20) -> DataFrame:
     """Bars with splits undone that prices and volumes show: all before one are rescaled, and later ones see that.
 
-    Tickers without a day whose prices moved near a ratio pass through without leaving the engine; the others are one
-    group each, a ticker's bars.
+    Windows mark the days whose prices moved near a ratio, with the volumes around them; only these days, a handful a
+    ticker, are looked at one after the other, as a split changes the volumes before the next. What they give is
+    applied like a list of splits.
     """
+    from barloom.operators.clean import adjust_splits
+
     own = Window.partitionBy("ticker").orderBy("d")
-    prev = F.lag("c").over(own)
+    around = lambda lo, hi: F.collect_list("v").over(own.rowsBetween(lo, hi))
+    marked = bars.select("ticker", "d", "o", "c", F.row_number().over(own).alias("n"), F.lag("c").over(own).alias("p"), around(-window, -1).alias("before"), around(0, window - 1).alias("after"))
     moved = F.exists(F.array(*(F.lit(math.log(n)) for n in RATIOS)), lambda n: F.abs(F.abs(F.log(F.col("p") / F.col("c"))) - n) < 0.1)
-    marked = bars.withColumn("p", prev).withColumn("m", F.coalesce(F.max(moved.cast("int")).over(Window.partitionBy("ticker")), F.lit(0))).drop("p")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("d").reset_index(drop=True)
-        x = {k: rows[k].to_numpy(dtype=float).copy() for k in "ohlcv"}
-        for k in range(1, len(rows)):
-            for q in _split_at(x["c"][k - 1], x["o"][k], x["c"][k]):
-                before, after = _upper_median(x["v"][max(0, k - window) : k]), _upper_median(x["v"][k : k + window])
+
+    def run(days: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        for r in days.sort_values("n").itertuples():
+            first = r.n - len(r.before)
+            for q in _split_at(r.p, r.o, r.c):
+                scaled = pd.Series([v * math.prod([x for n, _, x in found if n > first + i]) for i, v in enumerate(r.before)], dtype=float)
+                before, after = _upper_median(scaled), _upper_median(pd.Series(r.after, dtype=float))
                 if before > 0 and after > 0 and math.log(after / before) * (1 if q > 1 else -1) > 0.5 * abs(math.log(q)):
-                    for f in "ohlc":
-                        x[f][:k] /= q
-                    x["v"][:k] *= q
-        return rows.assign(**x)[["ticker", "d", *"ohlcv"]]
-
-    cols = ["ticker", "d", *"ohlcv"]
-    fixed = marked.where("m = 1").select(*cols).groupBy("ticker").applyInPandas(run, "ticker string, d date, o double, h double, l double, c double, v double")
-    return marked.where("m = 0").select(*cols).unionByName(fixed)
+                    found.append((r.n, r.d, q))
+        return pd.DataFrame([(days["ticker"].iloc[0], d, q) for _, d, q in found], columns=["ticker", "day", "ratio"])
+
+    splits = marked.where(moved).groupBy("ticker").applyInPandas(run, "ticker string, day date, ratio double")
+    return adjust_splits(bars.select("ticker", "d", *"ohlc", F.col("v").cast("double").alias("v")), splits).select("ticker", "d", *"ohlcv")
 
 
 def ordinary(name: Column, kind: Column) -> Column:

@@ -83,43 +83,65 @@ def ahead_volatility(by_state: DataFrame, overall: DataFrame, fits: DataFrame, l
     return mixed.select("t0", "ticker", F.when(F.col("n") < least_all, F.col("own")).otherwise(F.sqrt("v")).alias("sigma"))
 
 
-def slot(bars: dict[str, np.ndarray], sessions: np.ndarray, s: Settings, sigma: float, lows: Sequence[float] = (), adj: float = 1.0) -> tuple[float, bool]:
+def slot(
+    bars: dict[str, np.ndarray], sessions: np.ndarray, s: Settings, sigma: float, lows: Sequence[float] = (), adj: float = 1.0, held_from: float | None = None, calm: float = 1.0
+) -> tuple[float, bool]:
     """(return, stopped) of one slot over drawn sessions: bought at the first open within the limit, held, stopped by rule.
 
-    ``bars`` has o, h, l, c relative to the close before, by session; a session without a bar is flat.
+    ``bars`` has o, h, l, c relative to the close before, by session; a session without a bar is flat. With
+    ``held_from`` the slot starts with the share, its stop at that level of the last close. ``calm`` scales the drawn
+    moves to the volatility ahead. After a stop the buy-back order of ``rebuystop`` works, from its own day's close on.
     """
     price, worth, held, stopped = 1.0, 1.0, False, False
-    level = sure = band = factor = extreme = top = 0.0
+    level = sure = band = factor = extreme = top = trigger = 0.0
     leave = False
     past = list(lows)
     limit = 1 + min(s.capmax, s.capsd * (sigma if sigma > 0 else 0.02))
+
+    def arm(paid: float) -> None:
+        nonlocal level, sure, band, factor, extreme, top
+        band = float(np.clip((s.psarvol or s.vstop) * sigma, 0.02, 0.5))
+        if s.psarvol:
+            level, factor, extreme = paid * (1 - band), s.psarstep, paid
+        elif s.psar:
+            below = min(past[-5:], default=np.inf)
+            level, factor, extreme = (below if below < paid else 0.95 * paid), s.psarstep, paid
+        elif s.vstop:
+            level, sure, top = paid * (1 - band), paid * (1 - 1.5 * band), paid
+        elif s.stop:
+            level = paid * (1 - s.stop)
+
+    if held_from is not None:
+        held = True
+        arm(1.0)
+        level = held_from or level
     for q in sessions:
         o, h, low, c = (bars[k][q] for k in "ohlc")
         if not np.isfinite(o + h + low + c):
             continue
+        o, h, low, c = (np.exp(np.log(x) * calm) if calm != 1.0 else x for x in (o, h, low, c))
         scale = price * adj
         po, ph, pl, pc = o * scale, h * scale, low * scale, c * scale
+        within = False
         if held and leave:
             worth *= po / price
             held, leave, stopped = False, False, True
+            trigger = level * (1 + s.rebuystop)
+        elif not held and trigger and s.rebuystop and (po >= trigger or ph >= trigger):
+            held, within, price = True, po < trigger, max(po, trigger)
+            arm(price)
         elif not held and not stopped and po <= price * limit:
-            held, mark = True, po
-            band = float(np.clip((s.psarvol or s.vstop) * sigma, 0.02, 0.5))
-            if s.psarvol:
-                level, factor, extreme = po * (1 - band), s.psarstep, po
-            elif s.psar:
-                below = min(past[-5:], default=np.inf)
-                level, factor, extreme = (below if below < po else 0.95 * po), s.psarstep, po
-            elif s.vstop:
-                level, sure, top = po * (1 - band), po * (1 - 1.5 * band), po
-            elif s.stop:
-                level = po * (1 - s.stop)
-            price = mark
+            held, price = True, po
+            arm(po)
         if held:
             line = sure if s.vstop else level
             if line and pl <= line:
-                worth *= min(po, line) / price
-                held, stopped = False, True
+                worth *= (line if within else min(po, line)) / price
+                held, stopped, trigger = False, True, level * (1 + s.rebuystop)
+                if s.rebuystop and pc >= trigger:  # back on the stop's own day
+                    held, price = True, trigger
+                    arm(trigger)
+                    worth *= pc / price
             else:
                 worth *= pc / price
                 if s.psar or s.psarvol:

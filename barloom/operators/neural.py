@@ -46,9 +46,10 @@ def samples(panel: DataFrame, rebalance: int = 21, warmup: int = 260, horizon: i
     return rows.select("t", "ticker", x.alias("x"), "y", "sigma", (F.col("t") + horizon).alias("ready"))
 
 
-def walk_forward(rows: DataFrame, epochs: int = 2, horizon: int = 21, most: int = MOST) -> DataFrame:
+def walk_forward(rows: DataFrame, epochs: int = 2, horizon: int = 21, most: int = MOST, step: int = 0) -> DataFrame:
     """(t, ticker, mu, scale): the net's mean and scale factor for each sample, trained only on samples ready by t.
 
+    With ``step`` the net also learns one epoch every so many sessions between the resets, on what is ready by then.
     Training is sequential, so all resets are one group: a few thousand samples a year.
     """
 
@@ -58,9 +59,19 @@ def walk_forward(rows: DataFrame, epochs: int = 2, horizon: int = 21, most: int
         y = pdf["y"].to_numpy(dtype=float) / horizon
         sd = np.maximum(pdf["sigma"].to_numpy(dtype=float), 1e-4) / np.sqrt(horizon)
         net, out = Net(), []
+        ready = pdf["ready"].to_numpy()
+
+        def learn(t: int, rounds: int) -> None:
+            known = np.flatnonzero((ready <= t) & np.isfinite(y))[-most:]
+            net.train(x[known], y[known], sd[known], rounds)
+
+        before = None
         for t, own in pdf.groupby("t"):
-            known = np.flatnonzero((pdf["ready"].to_numpy() <= t) & np.isfinite(y))[-most:]
-            net.train(x[known], y[known], sd[known], epochs)
+            if step and before is not None:
+                for between in range(before + step, t, step):
+                    learn(between, 1)
+            before = t
+            learn(t, epochs)
             _, mu, scale = net.forward(x[own.index])
             out.append(pd.DataFrame({"t": t, "ticker": own["ticker"].to_numpy(), "mu": mu, "scale": scale}))
         return pd.concat(out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import costs, evaluate, indicators, panel, simulate
 from barloom.plans import sql
-from barloom.plans.panel_queries import bars, r, ranking, register, rnd, universe
+from barloom.plans.panel_queries import bars, features, r, ranking, register, rnd, universe
 from barloom.sources import bars as source
 
 K = 5
@@ -28,7 +28,7 @@ select t, ticker, round(rate, 8) + 0.0 rate from (select t, ticker, avg(hit) ove
     ),
 )
 def fill_rate_year(spark, sf_dir):
-    p = panel.features(bars(spark, sf_dir))
+    p = features(spark, sf_dir)
     nxt = F.lead("o").over(panel.by())
     hit = F.when(nxt.isNotNull() & F.col("cf").isNotNull(), (nxt <= F.col("cf") * (1 + costs.cap(F.col("sigma")))).cast("double"))
     rate = F.avg("hit").over(panel.by().rowsBetween(-251, -1))
@@ -222,7 +222,7 @@ def rank_shrunk_expected(spark, sf_dir):
 
 def daily_by_k(spark, sf_dir) -> DataFrame:
     """A daily return for each book size: the mean of the first so many series."""
-    p = panel.log_return(panel.carry_forward(panel.dense(source.bars(spark, sf_dir, "p_type")))).where("ret is not null")
+    p = panel.log_return(panel.carry_forward(panel.dense(bars(spark, sf_dir, "p_type")))).where("ret is not null")
     rows = p.withColumn("k", F.explode(F.array(F.lit(2), F.lit(3), F.lit(5)))).where((F.length("ticker") % 6 < F.col("k")) & (F.col("t") >= 1) & ((F.col("t") + F.col("k")) % 97 != 0))
     return rows.groupBy("k", F.col("t").alias("u")).agg(F.round(F.avg("ret"), 12).alias("ret"))
 

@@ -60,7 +60,7 @@ ct as (select ticker, count(*) n, min(d) b from sh group by ticker having count(
     ),
 )
 def join_history(spark, sf_dir):
-    b = source.bars(spark, sf_dir, "p_type").select("ticker", "d", "c")
+    b = bars(spark, sf_dir, "p_type").select("ticker", "d", "c")
     economy = F.col("ticker").startswith("ECONOMY")
     others = b.where(economy).withColumn("pref", F.when(F.dayofmonth("d") % 2 == 0, 1).otherwise(2))
     return rnd(clean.join_history(b.where(~economy | (F.col("d") >= F.lit("2000-01-01").cast("date"))), others, 900), 6)
@@ -127,7 +127,7 @@ def coverage_by_exchange(spark, sf_dir):
 
 @register("bars_by_code", sql.query(sql.bars("p_type"), "select ticker, d from bars where ticker = (select min(ticker) from bars)"))
 def bars_by_code(spark, sf_dir):
-    b = source.bars(spark, sf_dir, "p_type")
+    b = bars(spark, sf_dir, "p_type")
     first = b.agg(F.min("ticker")).first()[0]
     return ingest.by_ticker_or_code(b, f"LON:{first}").select("ticker", "d")
 
@@ -225,7 +225,7 @@ for _name in _SAID:
 g as (select max(case when ticker = 'ECONOMY' then c end) g, max(case when ticker = 'LARGE' then c end) d, max(case when ticker = 'MEDIUM' then c end) a from r)
 select 'EUR' currency, 1.0::double rate union all select 'GBP', g from g union all select 'USD', round(g * d, 6) from g union all select 'AUD', a from g"""))
 def fx_cross_rates(spark, sf_dir):
-    b = source.bars(spark, sf_dir, "p_type")
+    b = bars(spark, sf_dir, "p_type")
     pair = F.create_map(*(F.lit(x) for kv in (("ECONOMY", "EURGBP"), ("LARGE", "GBPUSD"), ("MEDIUM", "EURAUD")) for x in kv))[F.col("ticker")]
     last = b.groupBy(pair.alias("pair")).agg(F.round(F.max_by("c", "d"), 6).alias("rate"))
     return rnd(ingest.cross_rates(last), 6)

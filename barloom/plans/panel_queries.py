@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +31,33 @@ def rnd(df: DataFrame, places: int = 8, *keep: str) -> DataFrame:
     return df.select(*((F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.bars(spark, sf_dir)
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries start from, made once a session and then kept (in memory, else on the executors' disks).
+
+    A lost executor's part is made again. ``forget`` gives them back, as after the tables have changed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = made().persist(StorageLevel.MEMORY_AND_DISK)
+    return _KEPT[key]
+
+
+def forget() -> None:
+    for df in _KEPT.values():
+        if df.sparkSession.sparkContext._jsc is not None:
+            df.unpersist()
+    _KEPT.clear()
+
+
+def bars(spark: SparkSession, sf_dir: str, key: str = "p_brand") -> DataFrame:
+    return _kept(spark, sf_dir, f"bars by {key}", lambda: source.bars(spark, sf_dir, key))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.features(bars(spark, sf_dir))
+    return _kept(spark, sf_dir, "features", lambda: panel.features(bars(spark, sf_dir)))
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +65,7 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.with_market(universe(spark, sf_dir))
+    return _kept(spark, sf_dir, "market", lambda: panel.with_market(universe(spark, sf_dir)))
 
 
 def ranking(spark: SparkSession, sf_dir: str, name: str, invert: bool = False) -> DataFrame:

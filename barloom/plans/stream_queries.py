@@ -9,7 +9,7 @@ from barloom.operators import backtest, models, montecarlo, neural, panel, repor
 from barloom.plans import sql
 from barloom.plans.catalog import ORACLE
 from barloom.plans.evaluation_queries import daily_by_k, order_list_net
-from barloom.plans.panel_queries import bars, ranking, register, rnd, universe
+from barloom.plans.panel_queries import bars, ranking, register, rnd, universe, with_market
 from barloom.sources import bars as source
 from barloom.streaming import events
 
@@ -202,7 +202,7 @@ def fx_last_rates(spark, sf_dir):
 
 
 def bars_by_type(spark, sf_dir):
-    return source.bars(spark, sf_dir, "p_type")
+    return bars(spark, sf_dir, "p_type")
 
 
 @register("lowest_low_20", sql.query(sql.bars(), "select ticker, d, round(min(l) over (partition by ticker order by d rows 19 preceding), 6) + 0.0 low from bars"))
@@ -309,7 +309,7 @@ select t, ticker, t + 21 ready, round(y, 6) + 0.0 y, round(sigma, 6) + 0.0 sigma
     ),
 )
 def nn_samples(spark, sf_dir):
-    rows = neural.samples(panel.with_market(universe(spark, sf_dir)))
+    rows = neural.samples(with_market(spark, sf_dir))
     number = lambda c, n: F.round(F.col(c).cast("double") if isinstance(c, str) else c.cast("double"), n) + F.lit(0.0)
     inputs = [number(F.col("x")[i], 4).alias(f"x{i}") for i in range(len(_INPUTS))]
     return rows.select("t", "ticker", "ready", number("y", 6).alias("y"), number("sigma", 6).alias("sigma"), *inputs)
@@ -317,7 +317,7 @@ def nn_samples(spark, sf_dir):
 
 @register("nn_walk_forward")
 def nn_walk_forward(spark, sf_dir):
-    return rnd(neural.walk_forward(neural.samples(panel.with_market(universe(spark, sf_dir)))))
+    return rnd(neural.walk_forward(neural.samples(with_market(spark, sf_dir))))
 
 
 def _candidates(spark, sf_dir):
@@ -328,7 +328,7 @@ def _candidates(spark, sf_dir):
 @register("mc_stops")
 def mc_stops(spark, sf_dir):
     """Each candidate over drawn sessions with a volatility stop."""
-    p = panel.with_market(universe(spark, sf_dir))
+    p = with_market(spark, sf_dir)
     return rnd(montecarlo.simulate(p, _candidates(spark, sf_dir), backtest.Settings(psarvol=3.0)))
 
 
@@ -340,7 +340,7 @@ def mc_choose(spark, sf_dir):
 @register("mc_settings")
 def mc_settings(spark, sf_dir):
     """The stop multiple with the best simulated mean, by ticker, and what most of a reset's tickers chose."""
-    p = panel.with_market(universe(spark, sf_dir))
+    p = with_market(spark, sf_dir)
     c = _candidates(spark, sf_dir)
     runs = [montecarlo.simulate(p, c, backtest.Settings(psarvol=float(m))).withColumn("setting", F.lit(m)) for m in (2, 3, 6)]
     best = montecarlo.best_settings(runs[0].unionByName(runs[1]).unionByName(runs[2]))

@@ -209,3 +209,63 @@ def test_cross_rates_need_their_pairs(spark):
     rates = lambda *rows: {r.currency: r.rate for r in ingest.cross_rates(spark.createDataFrame(rows, "pair string, rate double")).collect()}
     assert rates(("EURGBP", 0.8), ("GBPUSD", 1.25), ("EURAUD", 1.6)) == {"EUR": 1.0, "GBP": 0.8, "USD": 1.0, "AUD": 1.6}
     assert rates(("GBPUSD", 1.25), ("EURAUD", -1.0)) == {"EUR": 1.0}
+
+
+def rel(**rows):
+    return {k: np.array(rows.get(k, rows["c"]), float) for k in ("o", "h", "l", "c")}
+
+
+def test_simulated_slot_buys_back_and_may_start_held():
+    s = backtest.Settings(stop=0.05, rebuystop=0.01, capmax=0.5, capsd=99)
+    # bought at 1, stopped at 0.95 on a day that closes at 0.99: bought back at 0.9595 that day
+    ret, stopped = montecarlo.slot(rel(c=[1.0, 0.99], l=[1.0, 0.9]), np.array([0, 1]), s, 0.02)
+    assert stopped and ret == pytest.approx(0.95 * 0.99 / 0.9595 - 1)
+    # a later day's high reaches the trigger
+    ret, _ = montecarlo.slot(rel(c=[1.0, 0.92, 1.05], l=[1.0, 0.9, 1.0], h=[1.0, 1.0, 1.06], o=[1, 1, 1]), np.array([0, 1, 2]), s, 0.02)
+    assert ret == pytest.approx(0.95 * (0.92 * 1.05) / 0.9595 - 1)
+    # held from the start, sold at its own level
+    ret, stopped = montecarlo.slot(rel(c=[0.97], l=[0.9]), np.array([0]), backtest.Settings(stop=0.5), 0.02, held_from=0.96)
+    assert stopped and ret == pytest.approx(-0.04)
+    # half the moves
+    ret, _ = montecarlo.slot(rel(c=[1.0, 1.21]), np.array([0, 1]), backtest.Settings(capmax=0.5, capsd=99), 0.02, calm=0.5)
+    assert ret == pytest.approx(0.1)
+
+
+def test_net_steps_down_the_crps():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 17))
+    sd = np.full(2000, 0.01)
+    y = 0.001 * np.tanh(x[:, 0]) + rng.normal(0, 0.01, 2000)
+    net = models.Net()
+    losses = net.train(x, y, sd, 30)
+    assert losses[-1] < losses[0]
+    # the loss is the CRPS: the mean distance of draws to y less half that between draws
+    _, mu, scale = net.forward(x[:1])
+    draws = mu[0] + scale[0] * sd[0] * np.random.default_rng(3).normal(size=40_000)
+    again = models.Net()
+    again.w = [w.copy() for w in net.w]
+    assert again.step(x[:1], y[:1], sd[:1]) == pytest.approx(models.crps(draws, y[0]) / sd[0], rel=0.03)
+
+
+def test_lists_that_shrink_and_pages_that_repeat(spark):
+    old, new = spark.range(400).withColumnRenamed("id", "x"), spark.range(1000, 1310).withColumnRenamed("id", "x")
+    assert ingest.kept_list(old, new).count() == 400 and ingest.kept_list(old, spark.range(1000, 1400).withColumnRenamed("id", "x")).where("x < 1000").count() == 0
+    pages = spark.createDataFrame([(0, "[AA] [BB]"), (1, "[BB] [CC]"), (2, "[AA]"), (3, "[DD]")], "page int, html string")
+    assert sorted(r.code for r in ingest.pages_until_old(pages, r"\[([A-Z]+)\]").collect()) == ["AA", "BB", "CC"]
+
+
+def test_export_of_an_exchange(spark):
+    days = [f"2024-{m:02d}-{d:02d}" for m in (1, 2, 3) for d in range(1, 29)]
+    rows = []
+    for i, d in enumerate(days):
+        k = 2.0 if i < 40 else 1.0  # a two-for-one split, with volumes
+        rows.append((d, "SPL", 50.0 * k, 51.0 * k, 49.0 * k, 50.0 * k, 1000.0 / k))
+        rows.append((d, "OK", 10.0, 10.2, 9.9, 10.0 + i % 3 * 0.1, 5000.0))
+        rows.append((d, "JMP", 10.0 * (5.7 if i > 50 else 1), 11.0 * (5.7 if i > 50 else 1), 9.0 * (5.7 if i > 50 else 1), 10.0 * (5.7 if i > 50 else 1), 9000.0))
+        rows.append((d, "FND", 10.0, 10.0, 10.0, 10.0, 9e9))
+        rows.append((d, "LOW", 1.0, 1.0, 1.0, 1.0, 1.0))
+    bars = spark.createDataFrame(rows, "d string, ticker string, o double, h double, l double, c double, v double").withColumn("d", __import__("pyspark.sql.functions", fromlist=["to_date"]).to_date("d"))
+    shares = spark.createDataFrame([(t, t, "ETF" if t == "FND" else "EQ") for t in ("SPL", "OK", "JMP", "FND", "LOW")], "ticker string, name string, kind string")
+    out = ingest.export_shares(bars, shares, 2).toPandas()
+    assert set(out["ticker"]) == {"SPL", "OK"} and len(out) == 2 * len(days)
+    assert out[out["ticker"] == "SPL"]["c"].unique() == pytest.approx([50.0])
