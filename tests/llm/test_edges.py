@@ -1,5 +1,7 @@
 """Empty tables, clashing columns, repeated rows, ties and long texts, for every operator and stage."""
 
+import hashlib
+import random
 import re
 import time
 
@@ -102,3 +104,32 @@ def test_footrule_ties_go_to_the_smaller_id(least):
     part = ann.Part(ids, v, np.eye(4), 2)
     rows = part.candidates(np.array([0, 1]), 40)
     assert sorted(part.ids[rows].tolist()) == sorted(np.sort(ids[v[:, 0] == 1])[:40].tolist())
+
+
+def test_shards_take_turns_by_definition():
+    """Each shard's whole order of slots is written down first; then they take turns."""
+    names, slots = sharding.default_shards(7), 211
+    number = lambda t: int(hashlib.sha256(t.encode()).hexdigest()[:16], 16)
+    orders = {n: [(number(f"offset:{n}") + j * (number(f"skip:{n}") % (slots - 1) + 1)) % slots for j in range(slots)] for n in names}
+    assert all(sorted(o) == list(range(slots)) for o in orders.values())
+    for weights in ({}, {names[2]: 3}):
+        place: dict[int, str] = {}
+        while len(place) < slots:
+            for n in names:
+                for _ in range(weights.get(n, 1)):
+                    if len(place) < slots:
+                        place[next(s for s in orders[n] if s not in place)] = n
+        assert sharding.lookup_table(names, slots, weights) == [place[s] for s in range(slots)]
+
+
+def test_packing_has_the_ids_of_the_tokenizer_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode, _ = packing.encoder()
+    pieces = ["the ", "garden", "\n", "\n\n", "  ", "\t", "'s", "'ll", "123", "4567", "é", "中文", "😀", "…", "<|endoftext|>", "<|", "|>", "x" * 40, "a.b@c.de", "\u00a0", "\u200b", "ﬁ", "\r\n", "№", "I'M"]
+    for _ in range(1500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
