@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from barloom.llm.common import cut_lineage
 
 
+def joined_apart(many: DataFrame, one: DataFrame, key: str, of: str) -> DataFrame:
+    """``many`` with its row of ``one``, a table just grouped by ``of``; a key that has very many rows can be split over tasks.
+
+    Joined where the groups were made, all rows of a key would have to meet there. The key is written as an expression,
+    so that ``one`` is dealt out again and the join is on its own.
+    """
+    return many.join(one.withColumn(of, F.col(of).bitwiseXOR(F.lit(0).cast("long"))), F.col(key) == F.col(of)).drop(of)
+
+
 def _with_least(pairs: DataFrame) -> DataFrame:
     """Pairs (u, v) with m, the least of u and all its partners. The minimum is combined before the shuffle."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
+    return joined_apart(pairs, least, "u", "of")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

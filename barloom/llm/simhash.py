@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import columns, cut_lineage, small_batches
-from barloom.llm.graph import connected_components
+from barloom.llm.graph import connected_components, joined_apart
 
 SEED = 42
 MAX_BITS = 3
@@ -159,8 +159,8 @@ def near_duplicates(
     first = fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(links(first, max_bits, hot_cell))
     named = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(least, "root").select("fp", "component_id")
+    least = named.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
+    label = joined_apart(named, least, "root", "of").select("fp", "component_id")
     return fp.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -171,7 +171,7 @@ WIDE_SHINGLE, NUM, DEN = 5, 4, 5
 #: Sets that order shingles from rare to common, and how many of them make one common; any order gives the same links.
 ORDER_SETS, COMMON = 4000, 8
 #: Sets of a part of a cell, about.
-PART = 2000
+PART = 500
 
 _SETS = "doc_id long, own long, n long, fp long, bits binary, text string"
 
@@ -507,8 +507,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = cut_lineage(sets)
     roots = _copies(sets, shingle, part)
     named = sets.join(roots, sets.own == roots.node, "left").select("own", "first", F.coalesce("root", "own").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.join(least, "root").select("own", "component_id")
+    least = named.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
+    label = joined_apart(named, least, "root", "of").select("own", "component_id")
     return _shingled(own, shingle, False).join(label, "own").select("doc_id", "component_id")
 
 
