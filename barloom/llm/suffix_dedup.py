@@ -38,8 +38,9 @@ LENGTH = 100
 GRAM, CUT, BLOCK = 24, 16, 512
 #: A minimizer in more blocks than this has its windows dealt one by one.
 HOT = 2_000
-#: Bytes of text sorted at a time.
-CHUNK = 60_000
+#: Bytes of text sorted at a time, and windows that a task holds before it hands them on.
+CHUNK, HELD = 60_000, 200_000
+_LAST = (1 << 63, 0, 0)
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), dtype="<u8")
@@ -259,18 +260,30 @@ def _run_texts(joined: DataFrame, length: int, rest: list[str]) -> DataFrame:
 
 
 def _single_windows(joined: DataFrame, length: int, rest: list[str]) -> DataFrame:
-    """(name, d, x, at): each window of a hot minimizer, with the hash of its bytes."""
+    """(name, d, x, at): the windows of hot minimizers by the hash of their bytes, of equal ones in a task the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
+        first: dict[bytes, tuple[int, int, int]] = {}
+
+        def given() -> pa.RecordBatch:
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            cols = [list(first), *zip(*first.values())] if first else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["name", "d", "x", "at"])
+
         for b in batches:
             for r in range(b.num_rows):
                 d, x, text = (b.column(i)[r].as_py() for i in range(3))
                 raw = text.encode("utf-8", "surrogatepass")
-                at = [p for _, i, j in _runs(raw, _numpy(b.column(3)[r]), _numpy(b.column(4)[r]), length, hashes) for p in range(i, j)]
-                cols = [[xxhash.xxh3_128_digest(raw[p : p + length]) for p in at], [d] * len(at), [x] * len(at), at]
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["name", "d", "x", "at"])
+                for _, i, j in _runs(raw, _numpy(b.column(3)[r]), _numpy(b.column(4)[r]), length, hashes):
+                    for p in range(i, j):
+                        name, here = xxhash.xxh3_128_digest(raw[p : p + length]), (d, x, p)
+                        if here < first.get(name, _LAST):
+                            first[name] = here
+                if len(first) > HELD:
+                    yield given()
+                    first.clear()
+        yield given()
 
     return joined.select("d", "x", "text", "blocks", "hot", *rest).mapInArrow(run, "name binary, d long, x long, at long")
 
