@@ -37,7 +37,7 @@ LENGTH = 100
 #: Bytes hashed for a minimizer, bytes hashed for a cut, and the mean length of a block.
 GRAM, CUT, BLOCK = 24, 16, 512
 #: A minimizer in more blocks than this has its windows dealt one by one.
-HOT = 2_000
+HOT = 20_000
 #: Bytes of text sorted at a time, and windows that a task holds before it hands them on.
 CHUNK, HELD = 60_000, 200_000
 _LAST = (1 << 63, 0, 0)
