@@ -10,8 +10,6 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from barloom.sources.bars import newest
-
 #: Statuses after which a request is made again, besides 500 and above; 0 is no answer.
 BUSY = (0, 429)
 
@@ -88,6 +86,3 @@ def newest_days(spark: SparkSession, folder: str) -> list[str]:
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     names = (x.getPath().getName() for x in files.listStatus(path)) if files.exists(path) else ()
     return sorted((n.removeprefix("day=") for n in names if n.startswith("day=")), reverse=True)
-
-
-__all__ = ["HttpLists", "cached", "fetch", "lists", "newest", "newest_days"]
