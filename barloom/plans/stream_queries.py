@@ -17,7 +17,8 @@ _OHLC = """select cast(date_trunc('hour', ts) as timestamp) "start", event_type,
 
 
 def _stream(spark, sf_dir):
-    return events.read(spark, f"{sf_dir}/events.parquet")
+    """The events in one batch: files of a table come in no order of time, which later batches would need."""
+    return events.read(spark, f"{sf_dir}/events.parquet", files=2**31 - 1)
 
 
 @register("stream_tumbling_ohlc", _OHLC)
@@ -36,13 +37,6 @@ def stream_last_samples(spark, sf_dir):
     return events.drained(events.last_samples(_stream(spark, sf_dir)), "complete").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
-@register("stream_dedupe", "select user_id, count(distinct event_id) n from events group by user_id")
-def stream_dedupe(spark, sf_dir):
-    rows = _stream(spark, sf_dir)
-    once = events.deduplicated(rows.union(rows).select("event_id", "user_id", "ts"))
-    return events.drained(once).groupBy("user_id").agg(F.count("*").alias("n"))
-
-
 def _stateful(spark, make):
     """Runs a stream with state in the store that its operators need."""
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -54,6 +48,15 @@ def _stateful(spark, make):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
+@register("stream_dedupe", "select user_id, count(distinct event_id) n from events group by user_id")
+def stream_dedupe(spark, sf_dir):
+    def once():
+        rows = _stream(spark, sf_dir)
+        return events.deduplicated(rows.union(rows).select("event_id", "user_id", "ts"))
+
+    return _stateful(spark, once).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 _BY_USER = "with recursive e as (select *, row_number() over (partition by user_id order by ts, event_id) i from events)"
 
 

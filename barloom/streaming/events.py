@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +18,9 @@ def read(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
-    rows = source.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else source.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    rows = source.option("pathGlobFilter", name).parquet(folder) if one else source.parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -201,12 +205,42 @@ def holds(events: DataFrame, kinds: dict[str, str], stop: float, strength: float
     return _steps(rows, ["user_id"], hold(kinds, stop, strength, back, closes), "state string, entry double, closes long, stop double", out)
 
 
+def _shared(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the session's checkpoint folder, on one machine a temporary one, else the warehouse."""
+    sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            return spark.conf.get("spark.sql.warehouse.dir")
+        folder = tempfile.mkdtemp(prefix="barloom-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def drained(stream: DataFrame, mode: str = "append", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """All that a stream gives for the input there is, as a table: it runs until the input is used up, then ends."""
-    name = f"t{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = stream.sparkSession.table(name)
+    """All that a stream gives for the input there is, as a table: it runs until the input is used up, then ends.
+
+    Each batch is written by the executors to a shared folder, so that no rows come to the driver; in mode ``complete``
+    it replaces the one before. The state goes when the stream ends, the rows when the driver does.
+    """
+    spark = stream.sparkSession
+    folder = f"{_shared(spark)}/drained-{uuid.uuid4().hex}"
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = path("rows").getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path("rows"))
+    files.deleteOnExit(path("."))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{'all' if mode == 'complete' else number}")
+
+    try:
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        files.delete(path("state"), True)
+    out = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
     return then(out) if then else out
 
 
