@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
 
 def field(json: Column, *names: str) -> Column:
@@ -113,8 +114,14 @@ def broker_history(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def fill_counts(rows: DataFrame, *columns: str) -> DataFrame:
-    """(field, filled): how many rows have a value other than null, empty and zero, in one pass."""
-    some = [F.struct(F.lit(c).alias("field"), F.count_if(F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", "0", "0.0")).alias("filled")) for c in columns]
+    """(field, filled): how many rows have a value other than null, empty text and the number zero, in one pass."""
+
+    def filled(c: str) -> Column:
+        kind = rows.select(c).schema[0].dataType
+        none = F.lit("") if isinstance(kind, StringType) else F.lit(0) if isinstance(kind, NumericType) else None
+        return F.col(c).isNotNull() if none is None else F.col(c) != none
+
+    some = [F.struct(F.lit(c).alias("field"), F.count_if(filled(c)).alias("filled")) for c in columns]
     return rows.agg(F.array(*some).alias("x")).select(F.inline("x"))
 
 

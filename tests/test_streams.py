@@ -1,8 +1,10 @@
-"""Streams drained to shared files, tables that are folders."""
+"""Streams drained to shared files, tables that are folders, counts of filled fields."""
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from barloom.operators import reports
 from barloom.plans import stream_queries
 from barloom.streaming import events
 
@@ -40,3 +42,9 @@ def test_a_stream_without_rows_gives_an_empty_table(spark, folder):
     rows, path = folder
     out = events.drained(events.read(spark, f"{path}/events.parquet").where("event_id < 0").select("event_id"))
     assert out.columns == ["event_id"] and out.count() == 0
+
+
+def test_filled_fields_by_their_type(spark):
+    rows = spark.createDataFrame([(0.0, "0", 0), (-0.0, "0.0", 1), (0.001, "", None), (None, None, 2), (-5.0, "x", 0)], "d double, s string, n int")
+    rows = rows.withColumn("m", F.expr("cast(n as decimal(9, 2))"))
+    assert {r.field: r.filled for r in reports.fill_counts(rows, "d", "s", "n", "m").collect()} == {"d": 2, "s": 3, "n": 2, "m": 2}
