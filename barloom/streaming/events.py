@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +89,7 @@ class Steps(StatefulProcessor):
     """
 
     def __init__(self, step: Callable, state: str, columns: list[str]) -> None:
-        self.step, self.state, self.columns = step, state, columns
+        self.step, self.state, self.columns, self.row = step, state, columns, None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.now = handle.getValueState("now", self.state)
@@ -95,7 +97,12 @@ class Steps(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.now.get()) if self.now.exists() else None
         out = []
-        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+        frames = list(rows)
+        frame = pd.concat(frames) if len(frames) > 1 else frames[0]
+        if self.row is None:  # a class is made once a task, not once a key
+            self.row = namedtuple("Row", frame.columns)
+        order = np.lexsort((frame["event_id"].to_numpy(), frame["ts"].to_numpy()))
+        for r in map(self.row, *(frame[c].to_numpy()[order].tolist() for c in frame.columns)):
             state, record = self.step(state, r)
             if record is not None:
                 out += [(*key, *x) for x in record] if isinstance(record, list) else [(*key, *record)]
@@ -135,11 +142,25 @@ def guard(kind: str, fill: str, stop: float, take: float, breakeven: float) -> C
 
 
 def guarded(events: DataFrame, fill: str, stop: float, take: float, breakeven: float) -> DataFrame:
-    """(user_id, mode, event_id, why, entry, price) of every sale, for each of the three kinds of stop."""
+    """(user_id, mode, event_id, why, entry, price) of every sale, for each of the three kinds of stop.
+
+    A user's three positions are one state, so that its rows are sent and sorted once.
+    """
     kinds = {k: guard(k, fill, stop, take, breakeven) for k in ("fixed", "trail", "breakeven")}
-    rows = events.select("user_id", "event_id", "ts", "event_type", "value", F.explode(F.array(*map(F.lit, kinds))).alias("mode"))
-    step = lambda state, r: kinds[r.mode](state, r)
-    return _steps(rows, ["user_id", "mode"], step, "n long, entry double, high double", "user_id long, mode string, event_id long, why string, entry double, price double")
+
+    def step(state, r):
+        now, sales = (), []
+        for i, (mode, one) in enumerate(kinds.items()):
+            own = state[3 * i : 3 * i + 3] if state else None
+            own, record = one(own if own and own[0] else None, r)
+            now += own or (0, 0.0, 0.0)
+            if record is not None:
+                sales.append((mode, *record))
+        return now if any(now[::3]) else None, sales or None
+
+    rows = events.select("user_id", "event_id", "ts", "event_type", "value")
+    state = ", ".join(f"{k}_n long, {k}_entry double, {k}_high double" for k in kinds)
+    return _steps(rows, ["user_id"], step, state, "user_id long, mode string, event_id long, why string, entry double, price double")
 
 
 def slots_cap(events: DataFrame, slots: int, order: str, fill: str) -> DataFrame:

@@ -48,3 +48,24 @@ def test_filled_fields_by_their_type(spark):
     rows = spark.createDataFrame([(0.0, "0", 0), (-0.0, "0.0", 1), (0.001, "", None), (None, None, 2), (-5.0, "x", 0)], "d double, s string, n int")
     rows = rows.withColumn("m", F.expr("cast(n as decimal(9, 2))"))
     assert {r.field: r.filled for r in reports.fill_counts(rows, "d", "s", "n", "m").collect()} == {"d": 2, "s": 3, "n": 2, "m": 2}
+
+
+def test_guarded_positions_go_on_in_the_next_batch_and_stay_with_the_executors(spark, folder, tmp_path):
+    rows, path = folder
+    rows = rows.assign(ts=rows["ts"].dt.floor("4h"))  # equal times: the event_id decides
+    for i in range(3):
+        spark.createDataFrame(rows[100 * i : 100 * i + 100][::-1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "ties"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        by_file, at_once = (events.drained(events.guarded(events.read(spark, str(tmp_path / "ties"), files=n), "purchase", 0.4, 0.2, 0.25)) for n in (1, 100))
+    finally:
+        spark.conf.unset(key)
+    assert at_once.inputFiles()
+    got, want = sorted(map(tuple, at_once.collect())), []
+    for mode in ("fixed", "trail", "breakeven"):
+        step, states = events.guard(mode, "purchase", 0.4, 0.2, 0.25), {}
+        for r in rows.itertuples():
+            states[r.user_id], sale = step(states.get(r.user_id), r)
+            want += [(r.user_id, mode, *sale)] if sale else []
+    assert got == sorted(want) == sorted(map(tuple, by_file.collect())) and len({x[1] for x in want}) == 3
