@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to Python: whole texts, so a batch stays within tens of MB.
 ARROW_ROWS = 1000
+#: Share of the largest heap of the driver above which a cut of lineage has its garbage collected.
+HEAP_SHARE = 0.4
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -40,6 +42,17 @@ def work_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the driver collect its garbage where its heap has grown over ``HEAP_SHARE`` of the largest.
+
+    Only then does Spark drop the broadcasts, shuffles and checkpoints that no plan needs any more. Left alone, the heap
+    rather grows over many short jobs, up to the largest, however little is alive in it; a full collection shrinks it again.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        spark._jvm.java.lang.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` kept in the checkpoint folder of the session; the shuffle files of the steps before it go as soon as it is written."""
     spark = df.sparkSession
@@ -47,9 +60,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        return df.select("*").checkpoint()
+        kept = df.select("*").checkpoint()
     finally:
         spark.conf.set(_CLEANUP, before or "false")
+    collect_garbage(spark)
+    return kept
 
 
 def columns(df: DataFrame, **wanted: str) -> DataFrame:

@@ -12,9 +12,16 @@ def joined_apart(many: DataFrame, one: DataFrame, key: str, of: str) -> DataFram
     """``many`` with its row of ``one``, a table just grouped by ``of``; a key that has very many rows can be split over tasks.
 
     Joined where the groups were made, all rows of a key would have to meet there. The key is written as an expression,
-    so that ``one`` is dealt out again and the join is on its own.
+    so that ``one`` is dealt out again and the join is on its own. It merges sorted rows at any size: a broadcast would
+    bring ``one`` to the driver, a job and a table there for each of the many joins of the rounds.
     """
-    return many.join(one.withColumn(of, F.col(of).bitwiseXOR(F.lit(0).cast("long"))), F.col(key) == F.col(of)).drop(of)
+    dealt = one.withColumn(of, F.col(of).bitwiseXOR(F.lit(0).cast("long"))).hint("merge")
+    return many.join(dealt, F.col(key) == F.col(of)).drop(of)
+
+
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v): the named pairs of columns of each row; unlike a union, this makes the rows once."""
+    return rows.select(F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs))))
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -24,14 +31,14 @@ def _with_least(pairs: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _each(edges, ("u", "v"), ("v", "u"))
     return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     near = _with_least(down)
-    return near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
+    return _each(near, ("v", "m"), ("u", "m"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
